@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from leafloom.llm import fingerprints
+from leafloom.llm import fingerprints, urls
 
 QUERIES = {
     "op9_fingerprints": fingerprints.query,
+    "op10_urls": urls.query,
 }
 
 SQL = {
     "op9_fingerprints": fingerprints.SQL,
+    "op10_urls": urls.SQL,
 }
