@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from leafloom.llm import fingerprints, urls
+from leafloom.llm import fingerprints, mixing, urls
 
 QUERIES = {
+    "op8_mixing": mixing.query,
     "op9_fingerprints": fingerprints.query,
     "op10_urls": urls.query,
 }
 
 SQL = {
+    "op8_mixing": mixing.SQL,
     "op9_fingerprints": fingerprints.SQL,
     "op10_urls": urls.SQL,
 }
