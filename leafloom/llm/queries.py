@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from leafloom.llm import fingerprints, mixing, urls
+from leafloom.llm import audio, fingerprints, mixing, urls
 
 QUERIES = {
+    "op5_audio": audio.query,
     "op8_mixing": mixing.query,
     "op9_fingerprints": fingerprints.query,
     "op10_urls": urls.query,
