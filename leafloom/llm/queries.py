@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from leafloom.llm import audio, fingerprints, mixing, urls
+from leafloom.llm import audio, fingerprints, katz, mixing, urls
 
 QUERIES = {
+    "op2_katz": katz.query,
     "op5_audio": audio.query,
     "op8_mixing": mixing.query,
     "op9_fingerprints": fingerprints.query,
