@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from leafloom.llm import audio, fingerprints, katz, mixing, packing, urls
+from leafloom.llm import audio, fingerprints, katz, language, mixing, packing, urls
 
 QUERIES = {
     "op2_katz": katz.query,
     "op5_audio": audio.query,
+    "op6_language": language.query,
     "op7_packing": packing.query,
     "op8_mixing": mixing.query,
     "op9_fingerprints": fingerprints.query,
