@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from leafloom.llm import audio, fingerprints, katz, language, mixing, packing, urls
+from leafloom.llm import audio, fingerprints, katz, language, licenses, mixing, packing, urls
 
 QUERIES = {
     "op2_katz": katz.query,
+    "op4_licenses": licenses.query,
     "op5_audio": audio.query,
     "op6_language": language.query,
     "op7_packing": packing.query,
