@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from leafloom.llm import audio, fingerprints, katz, language, licenses, mixing, packing, urls
+from leafloom.llm import audio, fingerprints, katz, language, licenses, mixing, packing, substrings, urls
 
 QUERIES = {
     "op2_katz": katz.query,
+    "op3_substrings": substrings.query,
     "op4_licenses": licenses.query,
     "op5_audio": audio.query,
     "op6_language": language.query,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op3_substrings": substrings.SQL,
     "op8_mixing": mixing.SQL,
     "op9_fingerprints": fingerprints.SQL,
     "op10_urls": urls.SQL,
