@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from leafloom.llm import audio, fingerprints, katz, language, licenses, mixing, packing, substrings, urls
+from leafloom.llm import audio, fingerprints, katz, language, licenses, mixing, neardup, packing, substrings, urls
 
 QUERIES = {
+    "op1_minhash": neardup.query,
     "op2_katz": katz.query,
     "op3_substrings": substrings.query,
     "op4_licenses": licenses.query,
