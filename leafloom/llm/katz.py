@@ -35,8 +35,10 @@ from leafloom.llm.text import LOWER, U, blocks, mix, pack, seeded, unpack, word_
 
 END, BEGIN = seeded(77, 2)
 #: Tokens in a batch, keys in a part of a count table, and the largest count whose types are counted for discounts.
-BATCH, PART, LEVELS = 2_000_000, 1_500_000, 100
+BATCH, PART, LEVELS = 800_000, 1_000_000, 100
 TURING = 5
+#: Kinds of rows that a batch gives.
+DOC, WAIT, CONTEXT = range(3)
 
 
 def discounts(types: np.ndarray) -> np.ndarray:
@@ -241,25 +243,25 @@ def score(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "text"
         p = np.where(p1 > 0, p1, unknown)[b.stream]
         mass = np.where(c2 <= LEVELS, d2[np.minimum(c2, LEVELS)], beyond(c2, b2)) * c2
         p[seen] = mass[at[seen]] / cv[seen]
-        docs = pd.DataFrame({"kind": "doc", "doc": np.arange(size), "key": pd.array(r["keys"], "Int64"), "held_out": b.held, "n_tokens": b.lengths, "n_known": per(cw > 0).astype(np.int64), "base": per(np.log10((cw + 1) / (n + v + 1))), "value": per(np.log10(p))})
+        docs = pd.DataFrame({"kind": DOC, "doc": np.arange(size), "key": pd.array(r["keys"], "Int64"), "held_out": b.held, "n_tokens": b.lengths, "n_known": per(cw > 0).astype(np.int64), "base": per(np.log10((cw + 1) / (n + v + 1))), "value": per(np.log10(p))})
         hashes = np.concatenate((b.words, [BEGIN])).view(np.int64)
         wait = np.flatnonzero(~seen & (cv > 0))
         key, times = np.unique(b.doc[wait] * (len(c) + 1) + before[wait], return_counts=True)
-        waits = pd.DataFrame({"kind": "wait", "doc": key // (len(c) + 1), "word": hashes[key % (len(c) + 1)], "n_tokens": times})
+        waits = pd.DataFrame({"kind": WAIT, "doc": key // (len(c) + 1), "word": hashes[key % (len(c) + 1)], "n_tokens": times})
         mine = np.full(len(keys), -1)
         mine[at] = np.arange(len(at))  # some token of each bigram
         mine = mine[own]
         left, right = before[mine], b.stream[mine]
         seen_mass, unigram_mass = np.bincount(left, mass[own], minlength=len(c) + 1), np.bincount(left, p1[right], minlength=len(c) + 1)
         have = np.flatnonzero(np.bincount(left, minlength=len(c) + 1))
-        sums = pd.DataFrame({"kind": "context", "word": hashes[have], "n_tokens": contexts[have], "base": seen_mass[have], "value": unigram_mass[have]})
+        sums = pd.DataFrame({"kind": CONTEXT, "word": hashes[have], "n_tokens": contexts[have], "base": seen_mass[have], "value": unigram_mass[have]})
         return pd.concat([docs, waits, sums]).assign(batch=r["batch"])[["kind", "batch", "doc", "key", "held_out", "n_tokens", "n_known", "base", "value", "word"]].astype({"doc": "Int64", "key": "Int64", "n_tokens": "Int64", "n_known": "Int64", "word": "Int64", "held_out": "boolean"})
 
-    found = batches.drop("n_words", "n_tokens").groupBy("batch").cogroup(told.groupBy("batch")).applyInPandas(run, "kind string, batch long, doc long, key long, held_out boolean, n_tokens long, n_known long, base double, value double, word long")
+    found = batches.drop("n_words", "n_tokens").groupBy("batch").cogroup(told.groupBy("batch")).applyInPandas(run, "kind int, batch long, doc long, key long, held_out boolean, n_tokens long, n_known long, base double, value double, word long")
     found = written(found, "found")
-    alphas = found.where("kind = 'context'").groupBy("word").agg(((1 - F.sum("base") / F.max("n_tokens")) / (1 - F.sum("value"))).alias("alpha"))
-    late = found.where("kind = 'wait'").join(alphas, "word").groupBy("batch", "doc").agg(F.sum(F.col("n_tokens") * F.log10("alpha")).alias("late"))
-    rows = found.where("kind = 'doc'").join(late, ["batch", "doc"], "left")
+    alphas = found.where(F.col("kind") == CONTEXT).groupBy("word").agg(((1 - F.sum("base") / F.max("n_tokens")) / (1 - F.sum("value"))).alias("alpha"))
+    late = found.where(F.col("kind") == WAIT).join(alphas, "word").groupBy("batch", "doc").agg(F.sum(F.col("n_tokens") * F.log10("alpha")).alias("late"))
+    rows = found.where(F.col("kind") == DOC).join(late, ["batch", "doc"], "left")
     return rows.select(F.col("key").alias(key), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), (F.col("value") + F.coalesce("late", F.lit(0.0))).alias("score"))
 
 
