@@ -12,12 +12,14 @@ Null texts are empty; an empty text has the one token that ends each document. R
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,71 +32,89 @@ VOCABULARY = "word_bpe_49k.json"
 BUCKET = 50_000
 
 
+class _Parts(dict):
+    """The token ids of letters, digits or marks that the tokeniser's pattern cuts out; looked up first."""
+
+    def __init__(self, model):
+        self.model = model
+        kept = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # bytes that byte-level vocabularies write as themselves
+        self.letters = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in kept)}
+
+    def __missing__(self, part: str) -> list[int]:
+        text = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+        ids = self[part] = [t.id for t in self.model.tokenize(text)]
+        return ids
+
+
 class Ids(dict):
-    """Place of each white-space separated chunk of text in a table of token ids; chunks are tokenised as they are first asked for.
+    """Place of each white-space separated chunk of text in a table of token ids; new chunks of many texts are tokenised together.
 
-    The tokeniser drops white space and treats chunks apart, so a text's ids are its chunks' ids in order. A chunk of letters,
-    digits and marks below U+0130 is cut by the tokeniser's own pattern and its parts looked up; others are left to the tokeniser.
+    The tokeniser drops white space and treats chunks apart, so a text's ids are its chunks' ids in order. Chunks of letters,
+    digits and marks below U+0130 are cut as the tokeniser's own pattern does, and their parts looked up; others are left to the
+    tokeniser. Tables are begun anew when they are full.
     """
 
     MOST = 500_000
+    LETTERS, DIGITS = "A-Za-z\xAA\xB5\xBA\xC0-\xD6\xD8-\xF6\xF8-\u012F", "0-9\xB2\xB3\xB9\xBC-\xBE"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.parts: dict[str, list[int]] = {}
-        self.cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
-        self.plain = regex.compile(r"[\x21-\x7E\xA1-į]*").fullmatch
-        kept = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # bytes that byte-level vocabularies write as themselves
-        others = [b for b in range(256) if b not in kept]
-        self.letters = {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(others)}
+        self.parts = _Parts(self.tokenizer.model)
+        self.cut = re.compile(rf"\n|[{self.LETTERS}]+|[{self.DIGITS}]|'(?:s|t|re|ve|m|ll|d)|(?:(?!'(?:s|t|re|ve|m|ll|d))[^\s{self.LETTERS}{self.DIGITS}])[^\s{self.LETTERS}{self.DIGITS}]*").findall
+        self.odd = re.compile(r"[^\x21-\x7E\xA1-\u012F]|<\|").search
         self.reset()
 
     def reset(self) -> None:
         self.clear()
-        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-
-    def part(self, p: str) -> list[int]:
-        got = self.parts.get(p)
-        if got is None:
-            if len(self.parts) >= self.MOST:
-                self.parts.clear()
-            got = self.parts[p] = [t.id for t in self.model.tokenize("".join(map(self.letters.__getitem__, p.encode())))]
-        return got
+        self.flat, self.begin, self.end = array("I"), array("q"), array("q")
+        self.new: list[bytes] = []
 
     def __missing__(self, chunk: bytes) -> int:
-        text = chunk.decode("utf-8", "replace")
-        if self.plain(text) and "<|" not in text:
-            ids = [i for p in self.cut(text.lower()) for i in self.part(p)]
-        else:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        at, n = len(self), len(ids)
-        while self.used + n > len(self.flat):
-            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-        if at >= len(self.start):
-            self.start, self.length = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.length))
-        self.flat[self.used : self.used + n] = ids
-        self.start[at], self.length[at] = self.used, n
-        self.used += n
-        self[chunk] = at
+        """The next place; learn() fills it."""
+        at = self[chunk] = len(self)
+        self.new.append(chunk)
         return at
 
+    def learn(self) -> None:
+        texts = [c.decode("utf-8", "replace") for c in self.new]
+        odd = [i for i, t in enumerate(texts) if self.odd(t)] if self.odd("".join(texts)) else []
+        left = [(len(self.begin) + i, texts[i]) for i in odd]
+        for i in odd:
+            texts[i] = ""
+        if len(self.parts) >= self.MOST:
+            self.parts.clear()
+        flat, parts, last = self.flat, self.parts, len(self.flat)
+        for part in self.cut("\n".join(texts).lower() + "\n"):
+            if part == "\n":
+                self.begin.append(last)
+                last = len(flat)
+                self.end.append(last)
+            else:
+                flat.extend(parts[part])
+        for at, text in left:
+            self.begin[at] = len(flat)
+            flat.extend(self.tokenizer.encode(text, add_special_tokens=False).ids)
+            self.end[at] = len(flat)
+        self.new = []
+
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids, each with LAST behind, and the offsets of the texts in them."""
         if len(self) > self.MOST:
             self.reset()
         chunks = [t.split() for t in texts]
         counts = np.array([len(c) for c in chunks])
-        at = np.fromiter((i for c in chunks for i in map(self.__getitem__, c)), np.int64, counts.sum())
-        n = self.length[at]
-        ends = np.concatenate(([0], np.cumsum(n)))
-        ids = self.flat[np.repeat(self.start[at] - ends[:-1], n) + np.arange(ends[-1])]
-        cuts = ends[np.concatenate(([0], np.cumsum(counts)))]
-        out = np.insert(ids, cuts[1:], LAST)
-        return out, cuts + np.arange(len(cuts))
+        at = np.fromiter(chain.from_iterable(map(self.__getitem__, c) for c in chunks), np.int64, counts.sum())
+        if self.new:
+            self.learn()
+        begin, end, flat = (np.array(x) for x in (self.begin, self.end, self.flat)) if self.flat else (np.zeros(len(self), np.int64), np.zeros(len(self), np.int64), np.zeros(0, np.uint32))
+        start = begin[at]
+        n = end[at] - start
+        upto = np.concatenate(([0], np.cumsum(n)))
+        ids = flat[np.repeat(start - upto[:-1], n) + np.arange(upto[-1])]
+        cuts = upto[np.concatenate(([0], np.cumsum(counts)))]
+        return np.insert(ids, cuts[1:], LAST), cuts + np.arange(len(cuts))
 
 
 #: Kept for the tasks that a Python worker runs one after the other.
