@@ -30,8 +30,6 @@ from leafloom.llm.tables import documents, written
 from leafloom.llm.text import blocks, longs, span_hashes, word_hashes, words
 
 LONG, SEED = 50, 25
-#: The most spans that are broadcast; beyond, texts are shuffled to them.
-MANY = 1_000_000
 
 
 def _seeds(docs: DataFrame, long: int, seed: int) -> DataFrame:
@@ -62,10 +60,9 @@ def _seeds(docs: DataFrame, long: int, seed: int) -> DataFrame:
 
 
 def _of_docs(docs: DataFrame, spans: DataFrame, how: str, key: str = "key") -> DataFrame:
-    """docs with `lows` and `highs`, their spans' ends. Spans are broadcast up to MANY of them."""
-    by = written(spans.groupBy("key").agg(F.collect_list(F.struct("low", "high")).alias("spans")).select(F.col("key").alias("_key"), F.col("spans.low").alias("lows"), F.col("spans.high").alias("highs")), "spans")
-    total = by.agg(F.sum(F.size("lows") + 4)).first()[0] or 0
-    return docs.join(F.broadcast(by) if total <= MANY else by, docs[key] == by["_key"], how).drop("_key")
+    """docs with `lows` and `highs`, their spans' ends; both sides are shuffled by key, at every size."""
+    by = spans.groupBy("key").agg(F.collect_list(F.struct("low", "high")).alias("spans")).select(F.col("key").alias("_key"), F.col("spans.low").alias("lows"), F.col("spans.high").alias("highs"))
+    return docs.join(by.hint("merge"), docs[key] == by["_key"], how).drop("_key")
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
