@@ -172,8 +172,8 @@ def _vbr(frame: bytes, h: Header, s: Stream) -> bool:
 
 
 def scan(data: bytes) -> Stream:
-    """Reads a stream. Bytes that belong to no tag or whole frame are counted as skipped; a header counts as one only where
-    the next frame of the same version, layer and rate, a tag or the end follows it."""
+    """Reads a stream. Bytes that belong to no tag or whole frame are counted as skipped. Where the last frame doesn't end, a
+    header counts as one only if another of the same version, layer and rate, or the end, follows its frame."""
     s = Stream()
     at, end = _id3v2(data, s.tags), len(data)
     if end - at >= 128 and data[-128:-125] == b"TAG":
@@ -181,20 +181,21 @@ def scan(data: bytes) -> Stream:
         for key, a, b in (("TIT2", 3, 33), ("TPE1", 33, 63), ("TALB", 63, 93), ("TYER", 93, 97)):
             s.tags.setdefault(key, data[end + a : end + b].decode("latin-1").rstrip("\0 "))
     locked: tuple | None = None
+    synced = False  # whether the last frame ended here
     while at + 4 <= end:
         h = header(data[at : at + 4])
         if h is None or at + h.size > end or locked not in (None, (h.version, h.layer, h.hertz)):
             nxt = data.find(b"\xff", at + 1, end)
             nxt = end if nxt < 0 else nxt
             s.skipped += nxt - at
-            at = nxt
+            at, synced = nxt, False
             continue
-        if locked is None:
+        if not synced:
             follows = header(data[at + h.size : at + h.size + 4]) if at + h.size + 4 <= end else None
             if at + h.size != end and (follows is None or (follows.version, follows.layer, follows.hertz) != (h.version, h.layer, h.hertz)):
                 s.skipped, at = s.skipped + 1, at + 1
                 continue
-            locked = (h.version, h.layer, h.hertz)
+            locked, synced = (h.version, h.layer, h.hertz), True
             s.version, s.layer, s.hertz = VERSION[h.version], h.layer, h.hertz
         if h.checked and h.layer == 3:
             s.checked += 1
