@@ -137,3 +137,14 @@ def responsible_rule(reason):
     for part, name in rules:
         choice = F.when(F.contains(reason, F.lit(part)), name) if choice is None else choice.when(F.contains(reason, F.lit(part)), name)
     return choice.otherwise("unknown")
+
+
+def trace(questions: DataFrame, pages: DataFrame, k: int = 5, **models) -> DataFrame:
+    """question_id, rule and trace: all that led to a verdict and its evidence as JSON, short of generating."""
+    made = ask(questions, pages, k, **models)
+    short = lambda c: F.when(F.length(c) <= 160, F.col(c)).otherwise(F.concat(F.substring(c, 1, 159), F.lit("…")))
+    listed = lambda df, order, *cols: df.groupBy(F.col("question_id").cast("string").alias("question_id")).agg(F.array_sort(F.collect_list(F.struct(order, *cols))).alias("rows"))
+    ranks = listed(made["ranked"], "rank", "cosine_rank", "cue", "chunk_id", "page_number", "section", F.round("score", 6).alias("score"), short("text").alias("text")).withColumnRenamed("rows", "ranked")
+    picked = listed(made["selected"], "place", "chunk_id", "page_number", short("span").alias("span")).withColumnRenamed("rows", "selected")
+    rows = made["verdicts"].join(ranks, "question_id", "left").join(picked, "question_id", "left")
+    return rows.select("question_id", responsible_rule(F.col("reason")).alias("rule"), F.to_json(F.struct(*[c for c in rows.columns if c != "question_id"])).alias("trace"))

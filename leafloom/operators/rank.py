@@ -95,3 +95,11 @@ def term_coverage(questions: DataFrame, ranked: DataFrame) -> DataFrame:
     return rows.select("question_id", "chunk_id", T.coverage(F.col("_terms"), F.col("_have")).alias("coverage"), F.array_intersect("_terms", "_have").alias("matched"))
 
 
+
+
+def corpus_counts(chunks: DataFrame) -> DataFrame:
+    """considered, excluded and excluded_by_reason of each document's passages."""
+    by = with_exclusion(chunks).groupBy("doc_id", "excluded").agg(F.count("*").cast("int").alias("n"))
+    reasons = F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("excluded").isNotNull(), F.struct("excluded", "n")))))
+    count = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).cast("int")
+    return by.groupBy("doc_id").agg(count(F.col("excluded").isNull()).alias("considered"), count(F.col("excluded").isNotNull()).alias("excluded"), reasons.alias("excluded_by_reason"))

@@ -313,6 +313,8 @@ SAMPLE = {
     "evaluation": lambda p, c: evaluate.evaluate(c, p)[1],
     "evaluation_table": lambda p, c: evaluate.table(evaluate.evaluate(c, p)[0]),
     "evaluation_json": lambda p, c: sources.evaluation_json(c.select(F.col("doc_id").alias("paper"), F.col("question_id").alias("question_no"), "question", "expected_answerable", "expected_pages")),
+    "ask_trace": lambda p, c: answer.trace(c, p),
+    "corpus_counts": lambda p, c: rank.corpus_counts(segment.passages(p)),
     "summary": lambda p, c: summary.summaries(p),
     "rendered_summary": lambda p, c: summary.render(summary.summaries(p)),
     "condensers": lambda p, c: packages.packages(segment.sections(p)).select("field", *[f(F.col("text")).alias(n) for n, f in condense.TEXTS.items()], condense.findings(F.col("text")).alias("findings"), condense.limits(F.col("text")).alias("limits")),
