@@ -54,7 +54,7 @@ class Ids(dict):
     tokeniser. Tables are begun anew when they are full.
     """
 
-    MOST = 500_000
+    MOST = 300_000
     LETTERS, DIGITS = "A-Za-z\xAA\xB5\xBA\xC0-\xD6\xD8-\xF6\xF8-\u012F", "0-9\xB2\xB3\xB9\xBC-\xBE"
 
     def __init__(self, path: str):
@@ -117,16 +117,12 @@ class Ids(dict):
         return np.insert(ids, cuts[1:], LAST), cuts + np.arange(len(cuts))
 
 
-#: Kept for the tasks that a Python worker runs one after the other.
-_tables: dict[str, Ids] = {}
-
-
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, piece, start, length and ids_crc32 of every document's pieces: whole documents, or cuts of those above capacity."""
     names = [key, "piece", "start", "length", "ids_crc32"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _tables.get(path) or _tables.setdefault(path, Ids(path))
+        table = Ids(path)
         for batch in batches:
             for b in blocks(batch.column(1)):
                 ids, at = table.encode([b.text(i) for i in range(len(b))])

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 
 U = np.uint64
 #: Bytes of text handled at once; a longer document is handled alone.
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 
 
 def byte_class(*ranges: tuple[int, int]) -> np.ndarray:
@@ -57,7 +57,7 @@ class Powers:
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = max(n, 2 * len(self.up))
+            size = (n + (1 << 18)) >> 18 << 18  # in steps, so that little is kept beyond a block
             for name, base in (("up", self.base), ("down", self.inverse)):
                 steps = np.full(size, U(base))
                 steps[0] = 1
