@@ -34,8 +34,8 @@ FAMILIES = {
 FAMILY = {language: family for family, languages in FAMILIES.items() for language in languages}
 UND = "und"
 WIDTH = 1 << 12
-#: The most documents of a language to fit on, and the most languages.
-SAMPLE, LANGUAGES = 400, 200
+#: The most documents of a language to fit on, the most of all languages together, and the most languages.
+SAMPLE, TOTAL, LANGUAGES = 400, 16_000, 200
 _LETTER = byte_class((65, 90), (97, 122))
 _BLANK = byte_class((0, 32), (127, 127))
 
@@ -141,6 +141,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     count = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
     if not count:
         return None
+    sample = min(sample, TOTAL // len(count))
     digest = F.pmod(F.xxhash64("key", F.lit("sample")), F.lit(1 << 30)) / (1 << 30)
     shares = F.create_map(*[F.lit(x) for name, n in count.items() for x in (name, 1.2 * sample / n)])
     chosen = rows.where(digest < F.element_at(shares, F.col("lang")))

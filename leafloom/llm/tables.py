@@ -27,7 +27,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a new Parquet table in the shared folder, read back; lost executors cost no recomputation of it."""
+    """df as a new Parquet table in the shared folder, read back; lost executors cost no recomputation of it. Results are read from such
+    tables lazily, so they stay until the folder's owner clears it."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
