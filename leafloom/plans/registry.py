@@ -273,6 +273,35 @@ def missing_values(spark, sf_dir):
     return fixture(spark, ["", "N/A", "None.", "unknown...", "Not stated in the paper.", "a value", "nothing"]).select("id", T.is_missing(F.col("t")).alias("missing"))
 
 
+WORD_ROWS = ["studies", "collections", "collection", "coding", "used", "classes", "walks", "gas", "ties", "sing", "bed", "analyses", "was"]
+
+
+@query("stems", "SELECT id, " + STEM.format("t") + " stem FROM " + listed(WORD_ROWS))
+def stems(spark, sf_dir):
+    return fixture(spark, WORD_ROWS).select("id", T.stem(F.col("t")).alias("stem"))
+
+
+@query("file_sizes", "SELECT doc_id, CASE WHEN n_chars < 1024 THEN n_chars || ' B' ELSE printf('%.1f KB', CAST(n_chars AS DOUBLE) / 1024) END size FROM documents WHERE n_chars < 1000000")
+def file_sizes(spark, sf_dir):
+    return table(spark, sf_dir, "documents").where("n_chars < 1000000").select("doc_id", sources.file_size(F.col("n_chars")).alias("size"))
+
+
+UPLOADS = [("/in/a.pdf", 3), ("/in/B.PDF", 20 * 1024 * 1024), ("/in/c.txt", 3), ("/in/d.pdf", 0), ("/in/e.pdf", 20 * 1024 * 1024 + 1)]
+
+
+@query("upload_gate", "SELECT path, CASE WHEN NOT ends_with(lower(path), '.pdf') OR length = 0 THEN 400 WHEN length > 20971520 THEN 413 ELSE 200 END status FROM (VALUES " + ", ".join(str(u) for u in UPLOADS) + ") v(path, length)")
+def upload_gate(spark, sf_dir):
+    return sources.gate(spark.createDataFrame(UPLOADS, "path string, length long")).select("path", "status")
+
+
+PAGE_SETS = [[], [4], [2, 3, 4], [1, 3], [5, 6, 8, 9]]
+
+
+@query("page_phrases", "SELECT id, CASE WHEN len(p) = 0 THEN 'no pages' WHEN len(p) = 1 THEN 'page ' || p[1] WHEN p[-1] - p[1] + 1 = len(p) THEN 'pages ' || p[1] || '-' || p[-1] ELSE 'pages ' || array_to_string(p, ', ') END phrase FROM (VALUES " + ", ".join(f"({i}, {p}::INTEGER[])" for i, p in enumerate(PAGE_SETS)) + ") v(id, p)")
+def page_phrases(spark, sf_dir):
+    return spark.createDataFrame(list(enumerate(PAGE_SETS)), "id int, p array<int>").select("id", T.page_phrase(F.col("p")).alias("phrase"))
+
+
 _PASSAGES = [("a", "", 1, "words of a first page before any heading stands on it"), ("a", "findings", 2, "walkers slept longer than the others in both of the towns"), ("a", "References", 3, "Hill on sleep and age and rest in later life"), ("a", "methods", 2, "too short"), ("b", "", 1, "a paper without any heading keeps the passages of its first page"), ("a", "keywords", 1, "sleep"), ("b", "", 2, "tiny")]
 
 
