@@ -212,7 +212,14 @@ def confusion_metrics(spark, sf_dir):
     return evaluate.metrics(rows).select("total", "true_positives", "true_negatives", "false_positives", "false_negatives", "correct", "accuracy")
 
 
-@query("page_groups")
+@query("page_groups", r"""
+WITH RECURSIVE p AS (SELECT conv_id, turn, t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) n
+  FROM (SELECT conv_id, turn, substr(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g'), 1, 20000) t FROM conversations) WHERE t <> ''),
+f AS (SELECT conv_id, n, turn, t, 0 g, length(t) size, 1 k FROM p WHERE n = 1
+  UNION ALL SELECT p.conv_id, p.n, p.turn, p.t, CASE WHEN fits THEN g ELSE g + 1 END, CASE WHEN fits THEN size + length(p.t) ELSE length(p.t) END, CASE WHEN fits THEN k + 1 ELSE 1 END
+  FROM (SELECT f.*, f.size + length(q.t) <= 600 AND f.k < 4 fits FROM f JOIN p q ON q.conv_id = f.conv_id AND q.n = f.n + 1) f JOIN p ON p.conv_id = f.conv_id AND p.n = f.n + 1)
+SELECT CAST(conv_id AS VARCHAR) doc_id, CAST(g AS INTEGER) group_no, string_agg(CAST(turn + 1 AS VARCHAR), ',' ORDER BY turn) pages, string_agg(t, chr(10) ORDER BY turn) text FROM f GROUP BY conv_id, g
+""")
 def page_groups(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("doc_id"), (F.col("turn") + 1).cast("int").alias("page_number"), "text")
     return segment.page_groups(c, 600, 4).withColumn("pages", F.array_join(F.transform("pages", lambda p: p.cast("string")), ","))
