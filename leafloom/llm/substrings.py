@@ -95,12 +95,13 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", long: int
     """key, low and high: words low up to high (excluded) are covered by windows that an earlier document has. Spans may overlap."""
     docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where("key IS NOT NULL")
     seeds = written(_seeds(docs, long, seed), "seeds")
+    # What is summed by a key is written before it is joined back by that key, so that the planner can split a hot key's rows in the join.
     shared = seeds.groupBy("anchor").agg(F.min("key").alias("a"), F.max("key").alias("b"), (F.min("reach") != F.max("reach")).alias("several")).where("a < b")
-    joined = written(seeds.join(shared.select("anchor", "several"), "anchor"), "joined")
-    firsts = joined.groupBy("anchor", "reach").agg(F.min("key").alias("first"))
+    joined = written(seeds.join(written(shared.select("anchor", "several"), "shared"), "anchor"), "joined")
+    firsts = written(joined.groupBy("anchor", "reach").agg(F.min("key").alias("first")), "firsts")
     joined = written(joined.join(firsts, ["anchor", "reach"]).where("key > first OR several").select("key", "low", "high", (F.col("key") > F.col("first")).alias("whole")), "decided")
     windows = written(_windows(_of_docs(docs, joined.where("NOT whole"), "inner"), long), "windows")
-    first = windows.groupBy("h1", "h2").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a < b")
+    first = written(windows.groupBy("h1", "h2").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a < b"), "first")
     matched = windows.join(first, ["h1", "h2"]).where("key > a").select("key", "low", F.col("low").alias("high"))
     return joined.where("whole").select("key", "low", "high").unionByName(matched).select("key", "low", (F.col("high") + long).alias("high"))
 
