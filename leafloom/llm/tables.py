@@ -39,5 +39,18 @@ def small(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+#: Rows in an Arrow batch, at most: texts of some MB go to a Python worker at once, beside the JVM's copy of them.
+ARROW_ROWS = 1000
+
+
+def bounded(spark: SparkSession) -> SparkSession:
+    """The session, with Arrow batches of at most ARROW_ROWS rows from now on."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
+    return spark
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns)
