@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafloom.llm import language, mixing, neardup, packing, substrings
-from leafloom.llm.tables import written
+from leafloom.llm.tables import bounded, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in no language: null texts and those without a letter. The others get the predicted language as lang."""
+    bounded(spark)
     model = language.train(docs.where(~language.held_out(F.col("doc_id"))))
     said = language.identify(docs.select(COLUMNS), model)
     return said.where(F.col("lang_pred") != language.UND).withColumn("lang", F.col("lang_pred")).select(COLUMNS)
@@ -25,6 +26,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least doc_id of each near-duplicate class; of rows with equal ids, all or none stay."""
+    bounded(spark)
     classes = written(neardup.near_duplicates(docs), "classes")
     gone = classes.where("class_id < doc_id").select("doc_id").distinct()
     gone = F.broadcast(gone) if gone.count() <= neardup.MANY else gone
@@ -34,6 +36,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes passages of 50 words or more that an earlier document has. Texts that lose nothing stay as they are; a document that
     loses all its words goes."""
+    bounded(spark)
     cut = substrings.remove(docs.select(COLUMNS), substrings.repeats(docs))
     cut = cut.where("n_removed < n_words OR n_removed = 0")
     lost = F.col("n_removed") > 0
@@ -44,6 +47,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats documents to the sources' target weights, whole: a partial last repetition counts from half of the document's words on.
     Documents that the mix takes no words of go."""
+    bounded(spark)
     taken = mixing.mix(docs).withColumn("copies", F.col("copies") + (2 * F.col("rest") >= F.greatest("size", F.lit(1))).cast("long"))
     by = written(taken.groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").cast("int").alias("copies")), "copies")
     by = F.broadcast(by) if by.count() <= neardup.MANY else by
@@ -53,6 +57,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs all pieces of all documents, repetitions included, into sequences."""
+    bounded(spark)
     return packing.packed(docs)
 
 
