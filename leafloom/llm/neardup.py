@@ -7,8 +7,10 @@ similarity of their shingles, which is the plain one where all counts are alike.
 are candidates, and candidates are verified by the exact Jaccard similarity of their sets of shingles, LIKE or more.
 
 * Equal word sequences are one document from the start, so a group of copies costs one, whatever its size.
-* Within a band's bucket, documents are paired with its first only, and so they are in the buckets of two bands at once, which are finer: pairs grow with
-  the number of documents, not with its square. Classes are the connected components of verified pairs.
+* All documents of a band's bucket are compared, but for those that are in one class already. First, documents are paired with their bucket's first only,
+  also in the buckets of two bands at once, which are finer; then with a random one, while that leaves clearly fewer pairs; then all pairs that are left
+  are. Near copies so cost one pair or a few each; documents that share a bucket and aren't alike cost all their pairs.
+* Classes are the connected components of verified pairs.
 * Buckets are never collected: first members are minima that combine before the shuffle, and joins can be split by the planner.
 
 Texts without words (nulls too) are in no class but their own. Rows with equal keys count as one document; a null key is a key.
@@ -149,6 +151,39 @@ def components(edges: DataFrame) -> DataFrame:
         edges = written(edges.join(up("a"), "a").join(up("b"), "b").where("a_up <> b_up").select(F.least("a_up", "b_up").alias("a"), F.greatest("a_up", "b_up").alias("b")).distinct(), "edges")
 
 
+def _rest(members: DataFrame, tested: DataFrame, sets: DataFrame, roots: DataFrame, like: float) -> DataFrame:
+    """The roots once all pairs of one bucket (members: bucket, key, shingles) have been compared, but for those of one component and
+    those whose sizes can't be alike. Other members than a bucket's centre meet again, linked ones too: two unlike sets can each be like a third."""
+    last = None
+    while True:
+        now = members.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+        mixed = now.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("bucket")
+        rooted = written(now.join(mixed, "bucket", "left_semi"), "members")
+        members = rooted.drop("root")
+        parts = written(rooted.groupBy("bucket", "root").agg(F.count("*").cast("double").alias("n")), "parts")
+        n, left = parts.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own")).agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()
+        if not n:
+            return roots
+        side = lambda k, c: rooted.select("bucket", F.col("root").alias(c), F.col("key").alias(k), F.col("shingles").alias(f"{k}_n"))
+        final = left <= n or (last is not None and left > 0.8 * last)
+        if final:  # joined by components, so that no pairs of one component arise
+            two = parts.select("bucket", F.col("root").alias("x")).join(parts.select("bucket", F.col("root").alias("y")), "bucket").where("x < y")
+            both = two.join(side("p", "x"), ["bucket", "x"]).join(side("q", "y"), ["bucket", "y"])
+        else:
+            order = F.xxhash64("key", F.lit(left))  # another centre each time
+            centres = rooted.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "key", "root", "shingles")).alias("c"))
+            both = side("q", "y").join(centres.select("bucket", F.col("c.root").alias("x"), F.col("c.key").alias("p"), F.col("c.shingles").alias("p_n")), "bucket").where("x <> y")
+        both = both.where(F.least("p_n", "q_n") >= like * F.greatest("p_n", "q_n") - 1)
+        both = both.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+        pairs = written(both.join(tested, ["a", "b"], "left_anti"), "pairs")
+        found = written(_verified(pairs, sets, like), "edges")
+        if not found.isEmpty():
+            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))
+        if final:
+            return roots
+        tested, last = tested.unionByName(pairs), left
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, like: float = LIKE) -> DataFrame:
     """key, class_id (the class's least key), copy_of (the least key with the same words), shingles: a row for each row of docs."""
     docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
@@ -160,8 +195,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     pairs = written(buckets.join(centres, "bucket").where("key > a").select("a", F.col("key").alias("b")).distinct(), "pairs")
     keys = written(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "keys")
     wanted = docs.join(F.broadcast(keys) if keys.count() <= MANY else keys, "key", "left_semi")
-    edges = _verified(pairs, written(_sets(wanted, size).dropDuplicates(["key"]), "sets"), like)
-    roots = components(edges)
+    sets = written(_sets(wanted, size).dropDuplicates(["key"]), "sets")
+    roots = components(_verified(pairs, sets, like))
+    single = firsts.where("shingles > 0").select("key", "shingles", F.posexplode("bands").alias("band", "bucket")).where(F.col("band") < PLACES // ROWS)
+    shared = single.join(single.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "bucket", "left_semi")
+    roots = _rest(shared.select("bucket", "key", "shingles"), pairs, sets, roots, like)
     rows = signed.select("key", "w1", "w2", "shingles").join(same, ["w1", "w2"], "left")
     rows = rows.withColumn("copy_of", F.when(F.col("shingles") > 0, F.col("copy_of")).otherwise(F.col("key")))
     rows = rows.join(roots.select(F.col("node").alias("copy_of"), "root"), "copy_of", "left")

@@ -48,6 +48,22 @@ def test_classes_are_those_of_brute_force(docs):
     assert got == _classes(rows)
 
 
+def test_pairs_behind_less_alike_copies_are_found(docs):
+    """Graded copies of one base, the most edited ones first: the last ones are like each other only."""
+    r = random.Random(8)
+    rows = []
+    for family in range(3):
+        base = [f"f{family}w{i}" for i in range(500)]
+        for edits in [14] * 48 + [9] * 6 + [4] * 4:
+            copy = list(base)
+            for at in r.sample(range(0, 500, 5), edits):
+                copy[at] = f"x{r.random()}"
+            rows.append((len(rows), " ".join(copy)))
+    got = {x.doc_id: x.class_id for x in neardup.near_duplicates(docs(rows)).collect()}
+    want = _classes(rows)
+    assert got == want and len(set(want.values())) > 100
+
+
 def test_large_groups_of_copies_are_one_class(docs):
     text = " ".join(f"w{i}" for i in range(60))
     rows = [(i, text) for i in range(300)] + [(300, text + " more"), (301, "other words stand here alone")]
