@@ -3,7 +3,8 @@
 A document's weighted shingles (runs of SHINGLE words with their counts; a shorter text is one shingle) each are a Poisson process
 with their weight as rate. Each arrival falls on a random one of PLACES places, and a place keeps the shingle that arrives
 first; a document stops early, once no later arrival can be first anywhere. Two documents' places agree with the probability Jaccard
-similarity of their shingles, which is the plain one where all counts are alike. Places are banded by ROWS; documents that share a band
+similarity of their shingles, which is the plain one where all counts are alike. A document whose counts differ is signed again with all
+weights 1, so that each has places that agree with the plain similarity. Places are banded by ROWS; documents that share a band
 are candidates, and candidates are verified by the exact Jaccard similarity of their sets of shingles, LIKE or more.
 
 * Equal word sequences are one document from the start, so a group of copies costs one, whatever its size.
@@ -87,14 +88,31 @@ def bands(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
         return np.hstack((h, mix(h * U(3) + np.roll(h, -1, axis=1))))
 
 
+def signed_bands(shingle: np.ndarray, weight: np.ndarray, doc: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of bands and their documents, in order: of the weighted shingles, and of the same with weights 1 where a document's weights
+    differ (elsewhere both are the same)."""
+    got = bands(prob_min_hash(shingle, weight, doc, docs))
+    most, least = np.zeros(docs, np.int64), np.full(docs, np.iinfo(np.int64).max)
+    np.maximum.at(most, doc, weight)
+    np.minimum.at(least, doc, weight)
+    uneven = most > least
+    again, sub = np.flatnonzero(uneven), np.cumsum(uneven) - 1
+    own = uneven[doc]
+    plain = bands(prob_min_hash(shingle[own], np.ones(int(own.sum())), sub[doc[own]], len(again)))
+    of = np.concatenate((np.arange(docs), again))
+    order = np.argsort(of, kind="stable")
+    return np.vstack((got, plain))[order], of[order]
+
+
 def _signatures(docs: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in blocks(batch.column(1)):
                 s, weight, doc, whole = shingles(b, size)
                 n = np.bincount(doc, minlength=len(b))
-                got = bands(prob_min_hash(s, weight, doc, len(b)))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(b) + 1, dtype=np.int32) * got.shape[1]), longs(got.ravel()))
+                got, of = signed_bands(s, weight, doc, len(b))
+                ends = np.searchsorted(of, np.arange(len(b) + 1)).astype(np.int32) * got.shape[1]
+                lists = pa.ListArray.from_arrays(pa.array(ends), longs(got.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(b.first, len(b)), longs(whole[0]), longs(whole[1]), pa.array(n), lists], ["key", "w1", "w2", "shingles", "bands"])
 
     return docs.mapInArrow(run, "key long, w1 long, w2 long, shingles long, bands array<long>")
@@ -197,7 +215,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     wanted = docs.join(F.broadcast(keys) if keys.count() <= MANY else keys, "key", "left_semi")
     sets = written(_sets(wanted, size).dropDuplicates(["key"]), "sets")
     roots = components(_verified(pairs, sets, like))
-    single = firsts.where("shingles > 0").select("key", "shingles", F.posexplode("bands").alias("band", "bucket")).where(F.col("band") < PLACES // ROWS)
+    single = firsts.where("shingles > 0").select("key", "shingles", F.posexplode("bands").alias("band", "bucket")).where(F.col("band") % (2 * (PLACES // ROWS)) < PLACES // ROWS)
     shared = single.join(single.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "bucket", "left_semi")
     roots = _rest(shared.select("bucket", "key", "shingles"), pairs, sets, roots, like)
     rows = signed.select("key", "w1", "w2", "shingles").join(same, ["w1", "w2"], "left")

@@ -64,6 +64,15 @@ def test_pairs_behind_less_alike_copies_are_found(docs):
     assert got == want and len(set(want.values())) > 100
 
 
+def test_pairs_that_differ_in_repeats_are_found(docs):
+    rows = []
+    for pair in range(12):
+        words = [f"p{pair}w{i}" for i in range(300)]
+        rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join([*words, *words[40:70] * 40]))]
+    got = {x.doc_id: x.class_id for x in neardup.near_duplicates(docs(rows)).collect()}
+    assert got == _classes(rows) and all(got[i] == i - i % 2 for i in got)
+
+
 def test_large_groups_of_copies_are_one_class(docs):
     text = " ".join(f"w{i}" for i in range(60))
     rows = [(i, text) for i in range(300)] + [(300, text + " more"), (301, "other words stand here alone")]
