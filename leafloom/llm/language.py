@@ -4,8 +4,9 @@ Features are counts of byte runs of one to three inside words (A-Z lower-cased,
 roots and scaled to unit length. The first step is one machine for each family against the rest; within the family, each pair
 of languages has a machine, and most votes win (ties: the larger sum of margins).
 
-Machines minimise a squared hinge loss and are fitted on the driver from at most SAMPLE documents of each language (1.2 * SAMPLE
-are expected to be collected), chosen by a digest of the key; their features, not their texts, are collected. Languages without an entry in FAMILIES are families of their own.
+Machines minimise a squared hinge loss and are fitted on the driver from at most `sample` documents of each language, fewer where all languages
+together would have more than `total`, but `least` at least (a fifth more, or 20, are expected to be collected), chosen by a digest of the key; their
+features, not their texts, are collected. All values of lang are learned. Languages without an entry in FAMILIES are families of their own.
 
 Texts that are null or have no letter are `und` with score 0, as are all where nothing was learned. Whole texts are read.
 """
@@ -34,8 +35,8 @@ FAMILIES = {
 FAMILY = {language: family for family, languages in FAMILIES.items() for language in languages}
 UND = "und"
 WIDTH = 1 << 12
-#: The most documents of a language to fit on, the most of all languages together, and the most languages.
-SAMPLE, TOTAL, LANGUAGES = 400, 16_000, 200
+#: The most documents of a language to fit on, and of all languages together where that leaves each language LEAST.
+SAMPLE, TOTAL, LEAST = 400, 16_000, 20
 _LETTER = byte_class((65, 90), (97, 122))
 _BLANK = byte_class((0, 32), (127, 127))
 
@@ -135,16 +136,16 @@ def fit(x: np.ndarray, languages: list[str], family_of: dict[str, str] = FAMILY)
     return Model(families, np.array(outer), inside, inner)
 
 
-def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model | None:
+def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, total: int = TOTAL, least: int = LEAST) -> Model | None:
     """Fits on a sample of the rows whose text and lang aren't null; None if there is none."""
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    count = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    count = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not count:
         return None
-    sample = min(sample, TOTAL // len(count))
+    sample = min(sample, max(total // len(count), least))
     digest = F.pmod(F.xxhash64("key", F.lit("sample")), F.lit(1 << 30)) / (1 << 30)
-    shares = F.create_map(*[F.lit(x) for name, n in count.items() for x in (name, 1.2 * sample / n)])
-    chosen = rows.where(digest < F.element_at(shares, F.col("lang")))
+    shares = docs.sparkSession.createDataFrame([(name, max(1.2 * sample, sample + 20) / n) for name, n in count.items()], "lang string, share double")
+    chosen = rows.join(F.broadcast(shares), "lang").where(digest < F.col("share"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

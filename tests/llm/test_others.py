@@ -40,6 +40,13 @@ def test_language_edges(spark):
     assert language.identify(d.limit(1), one).first().lang_pred == "en"
 
 
+def test_all_languages_are_learned(spark):
+    r = random.Random(6)
+    rows = [(k, " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(12)), f"l{k}") for k in range(205)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert all(x.lang_pred == x.lang for x in language.identify(d, language.train(d)).collect())
+
+
 # --- licenses ----------------------------------------------------------------------------------------------------------
 
 
