@@ -7,15 +7,22 @@ similarity of their shingles, which is the plain one where all counts are alike.
 weights 1, so that each has places that agree with the plain similarity. Places are banded by ROWS; documents that share a band
 are candidates, and candidates are verified by the exact Jaccard similarity of their sets of shingles, LIKE or more.
 
-* Equal word sequences are one document from the start, so a group of copies costs one, whatever its size.
-* All documents of a band's bucket are compared, but for those that are in one class already. First, documents are paired with their bucket's first only,
-  also in the buckets of two bands at once, which are finer; then with a random one, while that leaves clearly fewer pairs; then all pairs that are left
-  are. Near copies so cost one pair or a few each; documents that share a bucket and aren't alike cost all their pairs.
-* Classes are the connected components of verified pairs.
+* Equal word sequences are one text from the start, so a group of copies costs one, whatever its size.
+* All texts of a band's bucket are compared, but for those that are in one class already and those that are proven unlike. First, texts are paired
+  with their bucket's first only, also in the buckets of two bands at once, which are finer. Of the buckets that then still hold several classes,
+  shingles are counted. A pair that is alike shares a shingle of the rarest 1 - LIKE of both (prefix filter); where that one is rare (in at most
+  RARE of these texts) the pair is found by a join on rare shingles. Otherwise both texts are mostly of frequent shingles, and share no rare one, so
+  they are alike only if their frequent ones can overlap enough, which counts by GROUPS of the hash bound. Such texts meet their bucket's
+  most common one, then, over those still in other classes, all that the bound allows.
+  So near copies cost one pair or a few each, and texts that share a frequent passage but aren't alike cost none. What stays quadratic is a family of
+  texts that are just under the threshold to each other, all of them.
+* Classes are the connected components of verified pairs, found in rounds that at least halve what is left, with pointer jumping in each.
 * Buckets are never collected: first members are minima that combine before the shuffle, and joins can be split by the planner.
+* Weights find candidates; the sets alone decide, so that a line's repetitions neither make nor break a class.
 
-Texts without words (nulls too) are in no class but their own. Rows with equal keys count as one document; a null key is a key.
-Words are `[^\\x20\\x09-\\x0D]+`, unchanged; whole texts are read.
+A document is a row. Keys may be of any type that has an order, null, or repeated: rows meet by their words, and classes are named after keys only at
+the end. A class's id is its least key that isn't null (null if there is none). Texts without words (nulls too) are in no class but their
+own. Words are `[^\\x20\\x09-\\x0D]+`, unchanged; whole texts are read. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -24,10 +31,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leafloom.llm.tables import documents, written
+from leafloom.llm.tables import documents, small, written
 from leafloom.llm.text import Block, U, blocks, longs, mix, pack, run_hashes, seeded, span_hashes, unpack, word_hashes, words
 
 SHINGLE, LIKE = 5, 0.8
@@ -35,6 +43,8 @@ SHINGLE, LIKE = 5, 0.8
 PLACES, ROWS = 80, 4
 #: The most keys that are broadcast; beyond, texts are shuffled to them.
 MANY = 500_000
+#: A shingle of at most so many texts is rare; groups of frequent shingles whose counts bound an overlap.
+RARE, GROUPS = 20, 16
 _NEXT, _SPOT = seeded(5, 2)
 
 
@@ -105,7 +115,10 @@ def signed_bands(shingle: np.ndarray, weight: np.ndarray, doc: np.ndarray, docs:
 
 
 def _signatures(docs: DataFrame, size: int) -> DataFrame:
+    """For each row its key, a number of its own (stable once written), two hashes of its words, its number of distinct shingles, and bands."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for b in blocks(batch.column(1)):
                 s, weight, doc, whole = shingles(b, size)
@@ -113,28 +126,42 @@ def _signatures(docs: DataFrame, size: int) -> DataFrame:
                 got, of = signed_bands(s, weight, doc, len(b))
                 ends = np.searchsorted(of, np.arange(len(b) + 1)).astype(np.int32) * got.shape[1]
                 lists = pa.ListArray.from_arrays(pa.array(ends), longs(got.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(b.first, len(b)), longs(whole[0]), longs(whole[1]), pa.array(n), lists], ["key", "w1", "w2", "shingles", "bands"])
+                rows = pa.array(np.arange(row, row + len(b)))
+                row += len(b)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(b.first, len(b)), rows, longs(whole[0]), longs(whole[1]), pa.array(n), lists], ["key", "row", "w1", "w2", "shingles", "bands"])
 
-    return docs.mapInArrow(run, "key long, w1 long, w2 long, shingles long, bands array<long>")
+    return docs.mapInArrow(run, f"key {dict(docs.dtypes)['key']}, row long, w1 long, w2 long, shingles long, bands array<long>")
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """key and its shingles' hashes (40 bits of them, sorted and packed)."""
+    """Two hashes of each text's words, and its shingles' hashes (40 bits of them, sorted and packed)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in blocks(batch.column(1)):
-                s, _, doc, _ = shingles(b, size)
+            for b in blocks(batch.column(0)):
+                s, _, doc, whole = shingles(b, size)
                 cuts = np.searchsorted(doc, np.arange(len(b) + 1))
                 packed = [pack(np.diff(np.unique(s[x:y] >> U(24)), prepend=U(0))) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(b.first, len(b)), pa.array(packed, pa.binary())], ["key", "set"])
+                yield pa.RecordBatch.from_arrays([longs(whole[0]), longs(whole[1]), pa.array(packed, pa.binary())], ["w1", "w2", "set"])
+
+    return docs.select("text").mapInArrow(run, "w1 long, w2 long, set binary")
+
+
+def _members(sets: DataFrame) -> DataFrame:
+    """A row for each shingle of each set, with the set's size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                x = np.cumsum(unpack(packed.as_py(), U), dtype=U).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), node)), pa.array(x), pa.array(np.full(len(x), len(x)))], ["node", "shingle", "n"])
 
-    return docs.mapInArrow(run, "key long, set binary")
+    return sets.select("node", "set").mapInArrow(run, "node long, shingle long, n long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, like: float) -> DataFrame:
     """The pairs a, b whose sets are alike."""
-    both = pairs.join(sets.select(F.col("key").alias("b"), F.col("set").alias("right")), "b").join(sets.select(F.col("key").alias("a"), F.col("set").alias("left")), "a")
+    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("right")), "b").join(sets.select(F.col("node").alias("a"), F.col("set").alias("left")), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,76 +179,112 @@ def _verified(pairs: DataFrame, sets: DataFrame, like: float) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and root, its component's least node, for the nodes of edges a, b. Each round maps every node to the least of itself
-    and its neighbours and contracts the edges; rounds end when no edge is left."""
+    """node and root, one of its component's nodes, for the nodes of edges a, b.
+
+    In each round a node points to the first of itself and its neighbours, pointers are followed to their ends by doubling, and edges are
+    contracted. The order is that of the nodes at first and a random one from then on, in which a node is no end at least every other time: so rounds
+    grow with the logarithm of the nodes, whatever the shape.
+    """
     edges = written(edges.where("a <> b").distinct(), "edges")
-    roots = None
+    roots, turn = None, 0
     while True:
+        order = (lambda c: F.struct(c)) if turn == 0 else (lambda c, t=turn: F.struct(F.xxhash64(c, F.lit(t)), c))
         ways = edges.select(F.col("a").alias("node"), F.col("b").alias("to")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("to")))
-        least = written(ways.groupBy("node").agg(F.least("node", F.min("to")).alias("up")), "least")
-        if roots is None:
-            roots = least.withColumnRenamed("up", "root")
-        else:
-            roots = written(roots.join(least.select(F.col("node").alias("root"), "up"), "root", "left").select("node", F.coalesce("up", "root").alias("root")), "roots")
-        if edges.isEmpty():
-            return roots
-        up = lambda c: least.select(F.col("node").alias(c), F.col("up").alias(f"{c}_up"))
+        near = ways.groupBy("node").agg(F.min_by("to", order(F.col("to"))).alias("to"))
+        ups = written(near.select("node", F.when(order(F.col("to")) < order(F.col("node")), F.col("to")).otherwise(F.col("node")).alias("up")), "ups")
+        while True:
+            ends = ups.select(F.col("node").alias("up"), F.col("up").alias("end"))
+            far = written(ups.join(ends, "up").select("node", F.col("end").alias("up"), (F.col("end") != F.col("up")).alias("moved")), "ups")
+            ups = far.drop("moved")
+            if far.where("moved").isEmpty():
+                break
+        roots = ups.withColumnRenamed("up", "root") if roots is None else written(roots.join(ups.select(F.col("node").alias("root"), "up"), "root", "left").select("node", F.coalesce("up", "root").alias("root")), "roots")
+        up = lambda c: ups.select(F.col("node").alias(c), F.col("up").alias(f"{c}_up"))
         edges = written(edges.join(up("a"), "a").join(up("b"), "b").where("a_up <> b_up").select(F.least("a_up", "b_up").alias("a"), F.greatest("a_up", "b_up").alias("b")).distinct(), "edges")
-
-
-def _rest(members: DataFrame, tested: DataFrame, sets: DataFrame, roots: DataFrame, like: float) -> DataFrame:
-    """The roots once all pairs of one bucket (members: bucket, key, shingles) have been compared, but for those of one component and
-    those whose sizes can't be alike. Other members than a bucket's centre meet again, linked ones too: two unlike sets can each be like a third."""
-    last = None
-    while True:
-        now = members.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-        mixed = now.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("bucket")
-        rooted = written(now.join(mixed, "bucket", "left_semi"), "members")
-        members = rooted.drop("root")
-        parts = written(rooted.groupBy("bucket", "root").agg(F.count("*").cast("double").alias("n")), "parts")
-        n, left = parts.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own")).agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()
-        if not n:
-            return roots
-        side = lambda k, c: rooted.select("bucket", F.col("root").alias(c), F.col("key").alias(k), F.col("shingles").alias(f"{k}_n"))
-        final = left <= n or (last is not None and left > 0.8 * last)
-        if final:  # joined by components, so that no pairs of one component arise
-            two = parts.select("bucket", F.col("root").alias("x")).join(parts.select("bucket", F.col("root").alias("y")), "bucket").where("x < y")
-            both = two.join(side("p", "x"), ["bucket", "x"]).join(side("q", "y"), ["bucket", "y"])
-        else:
-            order = F.xxhash64("key", F.lit(left))  # another centre each time
-            centres = rooted.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "key", "root", "shingles")).alias("c"))
-            both = side("q", "y").join(centres.select("bucket", F.col("c.root").alias("x"), F.col("c.key").alias("p"), F.col("c.shingles").alias("p_n")), "bucket").where("x <> y")
-        both = both.where(F.least("p_n", "q_n") >= like * F.greatest("p_n", "q_n") - 1)
-        both = both.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
-        pairs = written(both.join(tested, ["a", "b"], "left_anti"), "pairs")
-        found = written(_verified(pairs, sets, like), "edges")
-        if not found.isEmpty():
-            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))
-        if final:
+        if edges.isEmpty():
             return roots
-        tested, last = tested.unionByName(pairs), left
+        turn += 1
+
+
+def _least(n: Column, like: float) -> Column:
+    """The fewest shingles that a set of n shares with a set that is alike."""
+    return F.ceil(n * like - 1e-9)
+
+
+def _rest(members: DataFrame, tested: DataFrame, sets: DataFrame, roots: DataFrame, like: float, rare: int = RARE) -> DataFrame:
+    """The roots once all pairs of one bucket (members: bucket, node) have been compared or proven unlike, but for those of one component."""
+
+    def rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+        return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    def mixed(rows: DataFrame) -> DataFrame:
+        several = rows.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("bucket")
+        return written(rows.join(several, "bucket", "left_semi"), "members")
+
+    def new(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+        return written(pairs.join(tested, ["a", "b"], "left_anti"), name)
+
+    members = mixed(rooted(members, roots))
+    texts = written(members.select("node", "root").distinct(), "texts")
+    if texts.isEmpty():
+        return roots
+    every = written(_members(sets.join(texts, "node", "left_semi")), "shingles")
+    counts = written(every.groupBy("shingle").agg(F.count("*").alias("of")).where("of > 1"), "counts")
+    shared = written(every.join(counts, "shingle"), "shared")
+    frequent, n = F.col("of") > rare, F.col("n")
+    groups = [F.count_if(frequent & (F.pmod("shingle", F.lit(GROUPS)) == i)).alias(f"g{i}") for i in range(GROUPS)]
+    facts = written(shared.groupBy("node").agg(F.max("n").alias("n"), F.count("*").alias("held"), F.count_if(frequent).alias("frequent"), *groups).where(F.col("held") >= _least(n, like)), "facts")
+    # pairs that share a rare shingle: of the prefix n - least + 1, the shingles of one text only are n - held
+    place = F.row_number().over(Window.partitionBy("node").orderBy("of", "shingle"))
+    prefix = shared.where(~frequent).withColumn("place", place).join(facts.select("node", "held"), "node").where(F.col("place") <= F.col("held") - _least(n, like) + 1)
+    prefix = written(prefix.join(texts, "node").select("shingle", "node", "root", "n"), "prefixes")
+    side = lambda k, c: prefix.select("shingle", F.col("node").alias(k), F.col("root").alias(c), F.col("n").alias(f"{k}_n"))
+    met = side("p", "x").join(side("q", "y"), "shingle").where((F.col("p") < F.col("q")) & (F.col("x") != F.col("y")) & (F.least("p_n", "q_n") >= like * F.greatest("p_n", "q_n") - 1e-9))
+    pairs = new(met, "pairs")
+    links = written(_verified(pairs, sets, like), "links")
+    # texts mostly of frequent shingles: with their bucket's most common one, then with each other
+    mostly = facts.where(F.col("frequent") >= _least(n, like)).select("node", "n", "frequent", *[f"g{i}" for i in range(GROUPS)])
+    members = mixed(members.join(mostly, "node"))
+    fact = lambda k: F.struct("node", "n", *[f"g{i}" for i in range(GROUPS)]).alias(k)
+    overlap = sum((F.least(f"l.g{i}", f"r.g{i}") for i in range(GROUPS)), F.lit(0))
+    can = overlap * (1 + like) >= like * (F.col("l.n") + F.col("r.n")) - 1e-6
+    centres = members.groupBy("bucket").agg(F.max_by(F.struct(fact("l"), "root"), F.struct(F.col("frequent") / n, -F.col("node"))).alias("c"))
+    met = members.select("bucket", F.col("root").alias("y"), fact("r")).join(centres.select("bucket", F.col("c.root").alias("x"), F.col("c.l").alias("l")), "bucket")
+    pairs = new(met.where((F.col("x") != F.col("y")) & can).select(F.col("l.node").alias("p"), F.col("r.node").alias("q")), "pairs")
+    links = written(links.unionByName(_verified(pairs, sets, like)), "links")
+    if not links.isEmpty():
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
+    members = mixed(rooted(members.drop("root"), roots))
+    left, right = (members.select("bucket", F.col("root").alias(c), fact(k)) for k, c in (("l", "x"), ("r", "y")))
+    pairs = new(left.join(right, "bucket").where((F.col("x") < F.col("y")) & can).select(F.col("l.node").alias("p"), F.col("r.node").alias("q")), "pairs")
+    links = written(_verified(pairs, sets, like), "links")
+    return roots if links.isEmpty() else components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, like: float = LIKE) -> DataFrame:
     """key, class_id (the class's least key), copy_of (the least key with the same words), shingles: a row for each row of docs."""
-    docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     signed = written(_signatures(docs, size), "signatures")
-    same = written(signed.where("shingles > 0").groupBy("w1", "w2").agg(F.min("key").alias("copy_of")), "same")
-    firsts = signed.join(same.select(F.col("copy_of").alias("key")).distinct(), "key", "left_semi")
-    buckets = firsts.where("shingles > 0").select("key", F.explode("bands").alias("bucket"))
-    centres = buckets.groupBy("bucket").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a < b").select("bucket", "a")
-    pairs = written(buckets.join(centres, "bucket").where("key > a").select("a", F.col("key").alias("b")).distinct(), "pairs")
-    keys = written(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "keys")
-    wanted = docs.join(F.broadcast(keys) if keys.count() <= MANY else keys, "key", "left_semi")
-    sets = written(_sets(wanted, size).dropDuplicates(["key"]), "sets")
+    same = written(signed.where("shingles > 0").groupBy("w1", "w2").agg(F.min("row").alias("node"), F.min("key").alias("copy_of")), "same")
+    firsts = signed.where("shingles > 0").withColumnRenamed("row", "node").join(same.select("node"), "node", "left_semi")
+    buckets = firsts.select("node", F.explode("bands").alias("bucket"))
+    centres = buckets.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("bucket", "a")
+    pairs = written(buckets.join(centres, "bucket").where("node > a").select("a", F.col("node").alias("b")).distinct(), "pairs")
+    nodes = written(same.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi"), "nodes")
+    keys = small(nodes.select(F.col("copy_of").alias("_key")).distinct(), MANY)
+    wanted = docs.join(keys, F.col("key").eqNullSafe(F.col("_key")), "left_semi")
+    sets = written(_sets(wanted, size).join(small(nodes.select("w1", "w2", "node"), MANY), ["w1", "w2"]).select("node", "set").dropDuplicates(["node"]), "sets")
     roots = components(_verified(pairs, sets, like))
-    single = firsts.where("shingles > 0").select("key", "shingles", F.posexplode("bands").alias("band", "bucket")).where(F.col("band") % (2 * (PLACES // ROWS)) < PLACES // ROWS)
-    shared = single.join(single.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "bucket", "left_semi")
-    roots = _rest(shared.select("bucket", "key", "shingles"), pairs, sets, roots, like)
-    rows = signed.select("key", "w1", "w2", "shingles").join(same, ["w1", "w2"], "left")
-    rows = rows.withColumn("copy_of", F.when(F.col("shingles") > 0, F.col("copy_of")).otherwise(F.col("key")))
-    rows = rows.join(roots.select(F.col("node").alias("copy_of"), "root"), "copy_of", "left")
-    return rows.select(F.col("key").alias(key), F.coalesce("root", "copy_of").alias("class_id"), "copy_of", "shingles")
+    single = firsts.select("node", F.posexplode("bands").alias("band", "bucket")).where(F.col("band") % (2 * (PLACES // ROWS)) < PLACES // ROWS)
+    shared = single.join(single.groupBy("bucket").agg(F.count("*").alias("of")).where("of > 1").select("bucket"), "bucket", "left_semi")
+    roots = _rest(shared.select("bucket", "node"), pairs, sets, roots, like)
+    linked = roots.join(same.select("node", "copy_of"), "node")
+    named = linked.join(linked.groupBy("root").agg(F.min("copy_of").alias("class_id")), "root").select("node", "class_id")
+    texts = same.join(named, "node", "left").select("w1", "w2", "copy_of", F.coalesce("class_id", "copy_of").alias("class_id"))
+    rows = signed.select("key", "w1", "w2", "shingles").join(texts, ["w1", "w2"], "left")
+    some = F.col("shingles") > 0
+    return rows.select(F.col("key").alias(key), F.when(some, F.col("class_id")).otherwise(F.col("key")).alias("class_id"), F.when(some, F.col("copy_of")).otherwise(F.col("key")).alias("copy_of"), "shingles")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,8 +91,41 @@ def test_places_estimate_probability_jaccard():
 
 def test_empty_and_nulls(docs, spark):
     assert neardup.near_duplicates(docs([(0, "a")]).limit(0)).count() == 0
-    got = neardup.near_duplicates(docs([(None, "a b c d e f"), (1, "a b c d e f"), (2, None)])).collect()
-    assert len(got) == 3
+    rows = [(None, "a b c d e f"), (5, "a b c d e f"), (2, None), (None, "g h i j k l"), (None, "g h i j k l"), (None, ""), (3, " \n ")]
+    got = sorted(neardup.near_duplicates(docs(rows)).collect(), key=str)
+    assert sorted((x.doc_id, x.class_id) for x in got if x.doc_id is not None) == [(2, 2), (3, 3), (5, 5)]
+    assert sorted(str(x.class_id) for x in got if x.doc_id is None) == ["5", "None", "None", "None"]
+
+
+def test_repeated_and_textual_keys_and_other_columns(spark):
+    words = [f"w{i}" for i in range(80)]
+    near = " ".join([*words[:40], "else", *words[41:]])
+    rows = [("a", " ".join(words), 1), ("a", "quite another text stands in this row", 2), ("b", near, 3), ("b", near, 3)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "id string, body string, shingles int"), "id", "body").collect()
+    assert sorted((x.id, x.class_id, x.copy_of) for x in got) == [("a", "a", "a"), ("a", "a", "a"), ("b", "a", "b"), ("b", "a", "b")]
+
+
+def test_texts_with_a_frequent_passage_are_not_paired(docs, monkeypatch):
+    """Texts half of which is one passage share buckets, but no pairs of them are compared beyond their buckets' first."""
+    compared, verified = [], neardup._verified
+
+    def counting(pairs, sets, like):
+        compared.append(pairs.count())
+        return verified(pairs, sets, like)
+
+    monkeypatch.setattr(neardup, "_verified", counting)
+    common = [f"c{i}" for i in range(70)]
+    rows = [(i, " ".join([*(f"a{i}x{j}" for j in range(25)), *common, *(f"b{i}x{j}" for j in range(25))])) for i in range(150)]
+    got = {x.doc_id: x.class_id for x in neardup.near_duplicates(docs(rows)).collect()}
+    assert got == {i: i for i in got} and sum(compared[1:]) == 0 and compared[0] < 40 * 150
+
+
+def test_recall_beside_brute_force(spark):
+    """All links of the smallest documents table, by brute force over pairs that share a shingle."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    got = {x.doc_id: x.class_id for x in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = _classes(rows)
+    assert {i: c for i, c in got.items() if i in want} == want
 
 
 def test_components_of_a_chain(spark):
@@ -101,6 +134,18 @@ def test_components_of_a_chain(spark):
     assert {got[i] for i in range(21)} == {0} and {got[i] for i in (100, 101, 102)} == {100}
 
 
+def test_components_take_few_rounds(spark, monkeypatch):
+    """A chain of 1000 shuffled nodes, a star whose centre is its last node, and a tree."""
+    names, keep = [], neardup.written
+    monkeypatch.setattr(neardup, "written", lambda df, name: names.append(name) or keep(df, name))
+    order = list(range(1000))
+    random.Random(1).shuffle(order)
+    edges = [*zip(order, order[1:]), *((5000, i) for i in range(4000, 4400)), *((6000 + i, 6000 + (i - 1) // 2) for i in range(1, 255))]  # noqa: B905
+    got = {r.node: r.root for r in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert [len({got[i] for i in part}) for part in (range(1000), [5000, *range(4000, 4400)], range(6000, 6255))] == [1, 1, 1] and len(set(got.values())) == 3
+    assert names.count("edges") - 1 <= 12
+
+
 def test_blocks_cover_all_rows():
     column = pa.array(["ab", None, "", "x" * 50, "é"])
     got = list(blocks(column, 10))
