@@ -5,14 +5,18 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections.abc import Sequence
 from typing import Any, Protocol
 
+import numpy as np
+
 from leafloom.functions import kernels as K
 from leafloom.functions.lexicon import EMPTY_MARKERS
 
 
 class Embedder(Protocol):
-    def embed(self, texts: list[str]) -> list[list[float]]: ...
+    def embed(self, texts: list[str]) -> Sequence[Sequence[float]]:
+        """A vector for each text."""
 
 
 class Generator(Protocol):
@@ -34,17 +38,13 @@ class HashingEmbedder:
     def __init__(self, width: int = 512):
         self.width = width
 
-    def embed(self, texts: list[str]) -> list[list[float]]:
-        return [self._one(t) for t in texts]
-
-    def _one(self, text: str) -> list[float]:
-        v = [0.0] * self.width
-        for w in text.lower().translate(K._MARKS).split():
-            w = w[:-1] if len(w) > 3 and w.endswith("s") else w
-            v[int.from_bytes(hashlib.sha256(w.encode()).digest()[:4], "big") % self.width] += 1.0
-        if not any(v):
-            v[0] = 0.001
-        return v
+    def embed(self, texts: list[str]) -> Sequence[Sequence[float]]:
+        words = [text.lower().translate(K._MARKS).split() for text in texts]
+        place = {w: int.from_bytes(hashlib.sha256((w[:-1] if len(w) > 3 and w.endswith("s") else w).encode()).digest()[:4], "big") % self.width for w in set().union(*words)}
+        at = np.array([i * self.width + place[w] for i, ws in enumerate(words) for w in ws], np.int64)
+        v = np.bincount(at, minlength=len(texts) * self.width).astype(float).reshape(len(texts), self.width)
+        v[~v.any(axis=1), 0] = 0.001
+        return list(v)
 
 
 class ExtractiveGenerator:

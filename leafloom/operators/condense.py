@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from leafloom.functions import lexicon as L
 from leafloom.functions import text as T
 
-NO_QUESTION = "The research question was not explicitly identifiable in the paper."
+NO_QUESTION = L.NO_QUESTION
 
 
 def _joined(parts: Column, n: int, most: int = 600) -> Column:
