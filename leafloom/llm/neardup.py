@@ -192,9 +192,11 @@ def components(edges: DataFrame) -> DataFrame:
         ways = edges.select(F.col("a").alias("node"), F.col("b").alias("to")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("to")))
         near = ways.groupBy("node").agg(F.min_by("to", order(F.col("to"))).alias("to"))
         ups = written(near.select("node", F.when(order(F.col("to")) < order(F.col("node")), F.col("to")).otherwise(F.col("node")).alias("up")), "ups")
-        while True:
-            ends = ups.select(F.col("node").alias("up"), F.col("up").alias("end"))
-            far = written(ups.join(ends, "up").select("node", F.col("end").alias("up"), (F.col("end") != F.col("up")).alias("moved")), "ups")
+        while True:  # four steps at once
+            step = ups.select(F.col("node").alias("up"), F.col("up").alias("end"))
+            twice = ups.join(step, "up").select("node", F.col("end").alias("up"))
+            ends = twice.select(F.col("node").alias("up"), F.col("up").alias("end"))
+            far = written(twice.join(ends, "up").select("node", F.col("end").alias("up"), (F.col("end") != F.col("up")).alias("moved")), "ups")
             ups = far.drop("moved")
             if far.where("moved").isEmpty():
                 break
@@ -206,6 +208,16 @@ def components(edges: DataFrame) -> DataFrame:
         turn += 1
 
 
+def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """The roots once links between nodes, old and new, are added: only roots are connected anew."""
+    of = lambda c: F.coalesce(f"{c}_root", c)
+    named = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    edges = links.join(named("a"), "a", "left").join(named("b"), "b", "left").select(of("a").alias("a"), of("b").alias("b"))
+    new = components(edges)
+    old = roots.join(new.select(F.col("node").alias("root"), F.col("root").alias("up")), "root", "left").select("node", F.coalesce("up", "root").alias("root"))
+    return written(old.unionByName(new.join(roots.select("node"), "node", "left_anti")), "roots")
+
+
 def _least(n: Column, like: float) -> Column:
     """The fewest shingles that a set of n shares with a set that is alike."""
     return F.ceil(n * like - 1e-9)
@@ -254,12 +266,12 @@ def _rest(members: DataFrame, tested: DataFrame, sets: DataFrame, roots: DataFra
     pairs = new(met.where((F.col("x") != F.col("y")) & can).select(F.col("l.node").alias("p"), F.col("r.node").alias("q")), "pairs")
     links = written(links.unionByName(_verified(pairs, sets, like)), "links")
     if not links.isEmpty():
-        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
+        roots = merged(roots, links)
     members = mixed(rooted(members.drop("root"), roots))
     left, right = (members.select("bucket", F.col("root").alias(c), fact(k)) for k, c in (("l", "x"), ("r", "y")))
     pairs = new(left.join(right, "bucket").where((F.col("x") < F.col("y")) & can).select(F.col("l.node").alias("p"), F.col("r.node").alias("q")), "pairs")
     links = written(_verified(pairs, sets, like), "links")
-    return roots if links.isEmpty() else components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
+    return roots if links.isEmpty() else merged(roots, links)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, like: float = LIKE) -> DataFrame:
@@ -290,3 +302,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op1: the near-duplicate class of every document."""
     return near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
+
+
+#: By all pairs of texts that share a shingle: for small tables.
+SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w FROM documents),
+k AS (SELECT doc_id, w, array_to_string(w, ' ') t FROM w),
+u AS (SELECT t, min(doc_id) id, any_value(w) w FROM k WHERE len(w) > 0 GROUP BY t),
+s AS (SELECT DISTINCT id, CASE WHEN len(w) < {SHINGLE} THEN t ELSE array_to_string(w[i + 1:i + {SHINGLE}], ' ') END g FROM (SELECT id, t, w, unnest(range(0, greatest(len(w) - {SHINGLE - 1}, 1))) i FROM u)),
+n AS (SELECT id, count(*) n FROM s GROUP BY id),
+o AS (SELECT a.id a, b.id b, count(*) both_ FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2),
+e AS (SELECT a, b FROM o JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE both_ >= {LIKE}::DOUBLE * (x.n + y.n - both_)),
+p AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT id, id root FROM u UNION SELECT p.b, r.root FROM r JOIN p ON p.a = r.id),
+c AS (SELECT id, min(root) class_id FROM r GROUP BY id)
+SELECT k.doc_id, coalesce(c.class_id, k.doc_id) class_id, coalesce(u.id, k.doc_id) copy_of, coalesce(n.n, 0) shingles
+FROM k LEFT JOIN u ON len(k.w) > 0 AND u.t = k.t LEFT JOIN c ON c.id = u.id LEFT JOIN n ON n.id = u.id
+"""
