@@ -10,11 +10,17 @@ adding or subtracting its vector. A vector has two parts:
   cosine of two such parts estimates that of the two multisets of sentences: the likeness.
 
 Everything is DataFrame functions. Nulls count as empty texts; empty paragraphs and sentences add nothing, so an empty text has the
-zero vector. Paragraphs end at line feeds; sentences also at . ! ? and |.
+zero vector. Paragraphs end at line feeds; sentences also at . ! ? and |. Elements become rows of one lane and its value, which are summed by lane
+before vectors are put together; so a row costs its own lane only.
+
+The query's order is that of descending keys, null ones last, then of texts. Rows that are alike in key and text follow each other; empty tables give no
+rows, and columns other than key and text are ignored.
 """
 
 from __future__ import annotations
 
+from itertools import pairwise
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,24 +41,20 @@ def _number(digest: Column, begin: int, digits: int) -> Column:
 
 
 def sums(elements: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds up the vectors of the rows' `element` by keys, as columns e0.. and s0... A row with a null element adds nothing."""
+    """Adds up the vectors of the rows' `element` by keys: the keys and `v`, an array of longs, the exact lanes first. A row with a null element
+    adds nothing."""
+    element = F.col("element")
     d = F.sha2("element", 256)
-    kind = F.substring("element", 1, 1)
-    hashed = elements.select(
-        *keys,
-        F.when(kind == "P", F.concat(d, F.sha2(F.concat(F.lit("Q"), "element"), 256))).alias("digest"),
-        F.when(kind == "S", _number(d, 1, 4)).alias("_h"),
-    )
-    lane, sign = F.col("_h").bitwiseAND(SKETCH - 1), 1 - 2 * F.shiftright(F.col("_h"), 15)
-    hashed = hashed.select(*keys, "digest", lane.cast("int").alias("lane"), sign.cast("int").alias("sign"))
-    exact = [F.coalesce(F.sum(_number(F.col("digest"), 8 * i + 1, 8)), F.lit(0)).alias(f"e{i}") for i in range(EXACT)]
-    sketch = [F.sum(F.when(F.col("lane") == i, F.col("sign")).otherwise(0)).alias(f"s{i}") for i in range(SKETCH)]
-    return hashed.groupBy(*keys).agg(*exact, *sketch)
-
-
-def vector() -> Column:
-    """The columns of sums() as one array of longs, the exact lanes first."""
-    return F.array(*[F.pmod(F.col(f"e{i}"), F.lit(1 << 32)) for i in range(EXACT)], *[F.pmod(F.col(f"s{i}"), F.lit(1 << 16)) for i in range(SKETCH)])
+    both = F.concat(d, F.sha2(F.concat(F.lit("Q"), element), 256))
+    at = lambda lane, value: F.struct(lane.cast("int").alias("lane"), value.cast("long").alias("value"))
+    hashed = elements.select(*keys, F.when(F.startswith(element, F.lit("P")), both).alias("_p"), F.when(F.startswith(element, F.lit("S")), _number(d, 1, 4)).alias("_s"))
+    exact = F.array(*[at(F.lit(i), _number(F.col("_p"), 8 * i + 1, 8)) for i in range(EXACT)])
+    sketch = F.array(at(F.col("_s").bitwiseAND(SKETCH - 1) + EXACT, 1 - 2 * F.shiftright("_s", 15)))
+    lanes = hashed.select(*keys, F.explode(F.when(F.col("_p").isNotNull(), exact).when(F.col("_s").isNotNull(), sketch).otherwise(F.array(at(F.lit(0), F.lit(0))))).alias("x"))
+    by = lanes.groupBy(*keys, F.col("x.lane").alias("lane")).agg(F.sum("x.value").alias("value"))
+    held = by.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("lane", "value"))).alias("held"))
+    power = lambda i: F.when(i < EXACT, F.lit(1 << 32)).otherwise(F.lit(1 << 16))
+    return held.select(*keys, F.transform(F.sequence(F.lit(0), F.lit(EXACT + SKETCH - 1)), lambda i: F.pmod(F.coalesce(F.try_element_at("held", i), F.lit(0)), power(i))).alias("v"))
 
 
 def add(a: Column, b: Column, sign: int = 1) -> Column:
@@ -77,56 +79,71 @@ def likeness(a: Column, b: Column) -> Column:
 def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key and its vector; texts of rows with equal keys count as one multiset."""
     rows = df.select(F.col(key).alias("key"), F.explode_outer(_elements(F.coalesce(F.col(text), F.lit("")))).alias("element"))
-    return sums(rows, ["key"]).select(F.col("key").alias(key), vector().alias("fingerprint"))
+    return sums(rows, ["key"]).select(F.col("key").alias(key), F.col("v").alias("fingerprint"))
+
+
+#: Ranges that the rows of one key, if it holds more than a range's share, are cut into by their texts' first bytes.
+WITHIN = 1024
+
+
+def ranges(df: DataFrame, parts: int) -> DataFrame:
+    """df with `bucket`, larger for rows that come earlier in the order of _k, descending, then _t: some `parts` ranges cut at quantiles.
+
+    A key that fills a range of its own is cut further by its texts, at most WITHIN times. The cuts are one broadcast row of at most two numbers
+    a part, and WITHIN for such a key, of which there are at most `parts`.
+    """
+    spark = df.sparkSession
+    df = df.withColumn("_s", F.coalesce(F.conv(F.hex(F.substring(F.encode("_t", "UTF-8"), 1, 6)), 16, 10).cast("long") * F.element_at(F.array(*[F.lit(256**i) for i in range(6, -1, -1)]), F.least(F.octet_length("_t"), F.lit(6)) + 1), F.lit(0)))
+    share = [i / parts for i in range(1, parts)]
+    found = (df.agg(F.percentile_approx("_k", share, 20 * parts)).first()[0] or []) if share else []
+    hot = sorted({x for x, y in pairwise(sorted(found)) if x == y})
+    cuts = sorted({*found, *hot, *(x + 1 for x in hot if x < (1 << 63) - 1)})
+    inside = {r["_k"]: sorted(set(r["cuts"])) for r in df.join(F.broadcast(spark.createDataFrame([(x,) for x in hot], "_k long")), "_k").groupBy("_k").agg(F.percentile_approx("_s", [i / WITHIN for i in range(1, WITHIN)], 20 * WITHIN).alias("cuts")).collect()} if hot else {}
+    wide = max(1, int(len(cuts) ** 0.5))
+    groups = [cuts[i : i + wide] for i in range(0, len(cuts), wide)]
+    table = spark.createDataFrame([([g[0] for g in groups], groups, inside)], "firsts array<long>, nested array<array<long>>, inside map<long,array<long>>")
+    below = lambda a, x: F.size(F.filter(a, lambda y: y <= x))
+    of = F.when(F.col("_g") == 0, 0).otherwise((F.col("_g") - 1) * wide + below(F.get("nested", F.col("_g") - 1), F.col("_k")))
+    rows = df.crossJoin(F.broadcast(table)).withColumn("_g", below(F.col("firsts"), F.col("_k"))).withColumn("_r", of)  # one row
+    sub = F.coalesce(below(F.try_element_at("inside", F.col("_k")), F.col("_s")), F.lit(0)) if inside else F.lit(0)
+    return rows.withColumn("bucket", F.col("_r").cast("long") * WITHIN + (WITHIN - 1 - sub)).drop("_g", "_r", "firsts", "nested", "inside")
 
 
 def with_next(df: DataFrame, order: str, text: str, parts: int) -> DataFrame:
     """Adds `next_text`, the text of the row that follows in descending order (ties by text; after the last row the first).
 
-    Rows go to ranges of `order`, cut at quantiles; each range also gets a copy of the next range's first rows. No task needs
-    more than one range, and the driver holds two numbers a range. Adds `bucket` and `place`, together unique, and leaves rows
+    Rows go to ranges of the order; each range also gets a copy of the next range's first rows, marked `guest`, whose next_text is void. No task
+    needs more than one range, and the driver holds three numbers a range. Adds `bucket` and `place`, together unique, and leaves rows
     partitioned by bucket.
     """
-    df = df.withColumn("_k", F.coalesce(F.col(order), F.lit(-(1 << 63)))).withColumn("_t", F.coalesce(F.col(text), F.lit("")))
-    cuts = df.agg(F.percentile_approx("_k", [i / parts for i in range(1, parts)], 20 * parts) if parts > 1 else F.array()).first()[0] or []
-    cuts = sorted(set(cuts))
-    wide = max(1, int(len(cuts) ** 0.5))
-    groups = [cuts[i : i + wide] for i in range(0, len(cuts), wide)]
-    if groups:
-        firsts, nested = F.array(*[F.lit(g[0]) for g in groups]), F.array(*[F.array(*[F.lit(x) for x in g]) for g in groups])
-        below = lambda a: F.size(F.filter(a, lambda x: x <= F.col("_k")))
-        g = below(firsts)
-        bucket = F.when(g == 0, 0).otherwise((g - 1) * wide + below(F.get(nested, g - 1)))
-    else:
-        bucket = F.lit(0)
-    df = df.withColumn("bucket", bucket)
-    tops = sorted((r for r in df.groupBy("bucket").agg(F.max("_k").alias("top")).collect()), key=lambda r: -r.bucket)  # a row a range
-    if not tops:
-        return df.withColumn("next_text", F.lit(None).cast("string")).withColumn("place", F.lit(0)).drop("_k", "_t")
-    after = {r.top: tops[i - 1].bucket for i, r in enumerate(tops)}
-    heads = F.create_map(*[F.lit(x) for pair in after.items() for x in pair])
-    guests = df.where(F.col("_k").isin(list(after))).withColumn("bucket", F.element_at(heads, F.col("_k")))
-    rows = df.withColumn("_g", F.lit(0)).unionByName(guests.withColumn("_g", F.lit(1)))
-    w = Window.partitionBy("bucket").orderBy("_g", F.col("_k").desc(), "_t")
+    df = df.withColumn("_k", F.coalesce(F.col(order).cast("long"), F.lit(-(1 << 63)))).withColumn("_t", F.coalesce(F.col(text), F.lit("")))
+    df = ranges(df, parts)
+    first = F.max(F.struct("_k", (-F.col("_s")).alias("s"))).alias("top")
+    tops = sorted(df.groupBy("bucket").agg(first).collect(), key=lambda r: -r.bucket)  # a row a range
+    heads = [(r.top["_k"], -r.top["s"], tops[i - 1].bucket, r.bucket) for i, r in enumerate(tops)]
+    table = F.broadcast(df.sparkSession.createDataFrame(heads, "_k long, _s long, host long, bucket long"))
+    guests = df.join(table, ["_k", "_s", "bucket"]).withColumn("bucket", F.col("host")).drop("host")
+    rows = df.withColumn("guest", F.lit(False)).unionByName(guests.withColumn("guest", F.lit(True)))
+    w = Window.partitionBy("bucket").orderBy("guest", F.col("_k").desc(), "_t")
     rows = rows.withColumn("next_text", F.lead("_t").over(w)).withColumn("place", F.row_number().over(w))
-    return rows.where("_g = 0").drop("_k", "_g", "_t")
+    rows = rows.withColumn("next_text", F.when(~F.col("guest"), F.col("next_text")))
+    return rows.withColumn("_before", F.lag("guest").over(w)).where(~F.col("guest") | ~F.col("_before")).drop("_k", "_s", "_t", "_before")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op9: documents, their edited texts and their successors."""
+    """op9: documents, their edited texts and their successors. A text is hashed once as itself, and serves its predecessor as the next one."""
     docs = documents(spark, sf_dir, "doc_id", "text")
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n = F.length("t").cast("long")
-    k = F.floor(F.col("n_chars") / 3).cast("int")
     rows = with_next(docs, "doc_id", "text", parts)
-    rows = rows.select("bucket", "place", "doc_id", F.coalesce("text", F.lit("")).alias("t"), "next_text").withColumn("n_chars", n)
-    rows = rows.withColumn("edited", F.concat(F.expr("substring(t, 1, int(n_chars) - int(floor(n_chars / 3)))"), F.substring("next_text", F.lit(1), k)))
-    keys = ["bucket", "place", "doc_id", "n_chars", "edited_sha256", "kind"]
-    kinds = F.explode(F.array(*[F.struct(F.lit(i).alias("kind"), F.col(c).alias("of")) for i, c in enumerate(("t", "edited", "next_text"))]))
-    rows = rows.withColumn("edited_sha256", F.sha2("edited", 256)).select(*keys[:-1], kinds.alias("x")).select(*keys[:-1], "x.*")
-    rows = rows.select(*keys, F.explode_outer(_elements(F.col("of"))).alias("element"))
-    of = sums(rows, keys).select(*keys, vector().alias("v"))
-    got = of.groupBy(*keys[:-1]).agg(*[F.max(F.when(F.col("kind") == i, F.col("v"))).alias(f"v{i}") for i in range(3)])
+    rows = rows.select("bucket", "place", "guest", "doc_id", F.coalesce("text", F.lit("")).alias("t"), "next_text").withColumn("n_chars", F.length("t").cast("long"))
+    third = F.floor(F.col("n_chars") / 3).cast("int")
+    rows = rows.withColumn("edited", F.concat(F.substring("t", F.lit(1), F.col("n_chars").cast("int") - third), F.substring("next_text", F.lit(1), third)))
+    keys = ["bucket", "place", "guest", "doc_id", "n_chars", "edited_sha256", "kind"]
+    texts = [F.struct(F.lit(i).alias("kind"), F.col(c).alias("of")) for i, c in enumerate(("t", "edited"))]
+    rows = rows.withColumn("edited_sha256", F.sha2("edited", 256)).select(*keys[:-1], F.explode(F.when(F.col("guest"), F.array(texts[0])).otherwise(F.array(*texts))).alias("x")).select(*keys[:-1], "x.*")
+    of = sums(rows.select(*keys, F.explode_outer(_elements(F.col("of"))).alias("element")), keys)
+    got = of.groupBy(*keys[:-1]).agg(*[F.max(F.when(F.col("kind") == i, F.col("v"))).alias(f"v{i}") for i in range(2)])
+    got = got.withColumn("v2", F.lead("v0").over(Window.partitionBy("bucket").orderBy("place"))).where(~F.col("guest"))
     a, b, c = (F.col(f"v{i}") for i in range(3))
     return got.select("doc_id", "n_chars", "edited_sha256", text_form(a).alias("fingerprint"), text_form(b).alias("edited_fingerprint"), F.round(likeness(a, b), 9).alias("near_edited"), F.round(likeness(a, c), 9).alias("near_next"))
 

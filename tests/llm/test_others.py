@@ -187,8 +187,8 @@ def test_fingerprints_are_of_multisets(docs):
 @pytest.mark.parametrize("parts", [1, 3, 40])
 def test_next_texts(docs, parts):
     r = random.Random(parts)
-    rows = [(r.choice([i, i * 1000]), f"text {i}") for i in range(1, 60)] + [(None, "last"), (5, "tie a"), (5, "tie b")]
-    got = fingerprints.with_next(docs(rows).repartition(5), "doc_id", "text", parts).collect()
+    rows = [(r.choice([i, i * 1000]), f"text {i}") for i in range(1, 60)] + [(None, "last"), (5, "tie a"), (5, "tie b")] + [(None, f"{i} no key") for i in range(60)] + [(7, "é" * (i % 9)) for i in range(60)]
+    got = fingerprints.with_next(docs(rows).repartition(5), "doc_id", "text", parts).where("NOT guest").collect()
     order = sorted(rows, key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
     want = sorted((t, order[(i + 1) % len(order)][1]) for i, (_, t) in enumerate(order))
     assert sorted((x.text, x.next_text) for x in got) == want
