@@ -1,8 +1,12 @@
 """Media columns: MPEG audio.
 
 scan() resynchronises on frame headers (MPEG 1, 2 and 2.5, layers I to III), reads ID3v1 and ID3v2 tags and the Xing/Info and
-VBRI tables of variable-bitrate streams, verifies frames' CRC-16 checksums, and gives exact durations (samples over sampling
-rate) and every frame's offset. store() writes bytes losslessly as such a stream, and stored() reads them back.
+VBRI tables of variable-bitrate streams, verifies frames' CRC-16 checksums (over the header and layer I's allocation, layer II's allocation and
+selection information, or layer III's side information), and gives exact durations (of all samples that the frames decode to, over their sampling
+rates) and every frame's offset. What an encoder says that it padded stands beside. store() writes bytes losslessly as such a stream, and stored()
+reads them back.
+
+Null and empty contents have no frame; contents and rows that are alike give the same; empty tables stay empty.
 
 A stream made by store() is MPEG 1 layer III, mono, 44.1 kHz, with checksums: an ID3v2 tag with the payload's length, an Info frame with
 counts and a seek table, then frames whose side information announces no coded audio (they decode to silence) and whose main data area
@@ -36,6 +40,8 @@ KBITS = {
 }
 HERTZ = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8000)}
 VERSION = {3: "1", 2: "2", 0: "2.5"}
+# Fixed values of the format: bits of a subband's allocation in layer II, by table.
+ALLOCATION = {"a": [4] * 11 + [3] * 12 + [2] * 4, "b": [4] * 11 + [3] * 12 + [2] * 7, "c": [4] * 2 + [3] * 6, "d": [4] * 2 + [3] * 10, "low": [4] * 4 + [3] * 7 + [2] * 19}
 #: The unit that texts are padded to.
 UNIT = 64
 
@@ -50,6 +56,24 @@ class Header:
     mono: bool
     size: int
     samples: int
+    #: The first subband that both channels share.
+    bound: int
+
+    @property
+    def kind(self) -> tuple[int, int, int]:
+        return self.version, self.layer, self.hertz
+
+    @property
+    def allocation(self) -> list[int]:
+        """Bits of each subband's allocation in layers I and II."""
+        if self.layer == 1:
+            return [4] * 32
+        each = self.kbits if self.mono else self.kbits // 2
+        if self.version != 3:
+            return ALLOCATION["low"]
+        if each < 56:
+            return ALLOCATION["d" if self.hertz == 32000 else "c"]
+        return ALLOCATION["b" if each >= 96 and self.hertz != 48000 else "a"]
 
     @property
     def side(self) -> int:
@@ -73,7 +97,8 @@ def header(word: bytes) -> Header | None:
     else:
         samples = 576 if low and layer == 3 else 1152
         size = samples // 8 * 1000 * kbits // hz + pad
-    return Header(version, layer, not word[1] & 1, kbits, hz, word[3] >> 6 == 3, size, samples)
+    bound = ((word[3] >> 4 & 3) + 1) * 4 if word[3] >> 6 == 1 else 32
+    return Header(version, layer, not word[1] & 1, kbits, hz, word[3] >> 6 == 3, size, samples, bound)
 
 
 def _crc_table() -> list[int]:
@@ -90,13 +115,31 @@ _CRC = _crc_table()
 
 
 @lru_cache(4096)
-def crc16(data: bytes) -> int:
-    c = 0xFFFF
-    for b in data:
+def crc16(data: bytes, bits: int | None = None) -> int:
+    """Of all bits, or of the first so many."""
+    c, whole = 0xFFFF, len(data) if bits is None else bits // 8
+    for b in data[:whole]:
         c = (c << 8 ^ _CRC[c >> 8 ^ b]) & 0xFFFF
+    for i in range(0 if bits is None else bits % 8):
+        c = (c << 1 ^ (0x8005 if (c >> 15 ^ data[whole] >> 7 - i) & 1 else 0)) & 0xFFFF
     return c
 
 
+def checksum(frame: bytes, h: Header) -> int:
+    """What a protected frame's checksum ought to be."""
+    if h.layer == 3:
+        return crc16(frame[2:4] + frame[6 : 6 + h.side])
+    channels, bits, used = 1 if h.mono else 2, 0, 0
+    body = int.from_bytes(frame[6:262].ljust(256, b"\0"), "big")
+    for band, width in enumerate(h.allocation):
+        for _ in range(channels if band < h.bound else 1):
+            given = body >> 2048 - bits - width & (1 << width) - 1
+            bits += width
+            used += (given > 0) * (1 if band < h.bound else channels)
+    bits += 2 * used if h.layer == 2 else 0
+    return crc16(frame[2:4] + frame[6 : 7 + bits // 8].ljust(1 + bits // 8, b"\0"), 16 + bits)
+
+
 @dataclass
 class Stream:
     frames: int = 0
@@ -110,13 +153,16 @@ class Stream:
     table: str = ""
     told_frames: int | None = None
     seek: list[int] = field(default_factory=list)
+    delay: int | None = None
+    padding: int | None = None
+    by_hertz: dict[int, int] = field(default_factory=dict)
     offsets: list[int] = field(default_factory=list)
     kbits: dict[int, int] = field(default_factory=dict)
     tags: dict[str, str] = field(default_factory=dict)
 
     @property
     def seconds(self) -> float:
-        return self.samples / self.hertz if self.hertz else 0.0
+        return sum(n / hz for hz, n in self.by_hertz.items())
 
 
 def _synchsafe(b: bytes) -> int:
@@ -132,16 +178,26 @@ def _id3v2(data: bytes, tags: dict[str, str]) -> int:
     """Reads a tag at the start; gives its length."""
     if data[:3] != b"ID3" or len(data) < 10:
         return 0
-    major, end = data[3], min(len(data), 10 + _synchsafe(data[6:10]) + (10 if data[5] & 16 else 0))
-    at, wide = 10, major >= 3
-    while at + (10 if wide else 6) <= end and data[at] != 0:
+    major, flags, end = data[3], data[5], min(len(data), 10 + _synchsafe(data[6:10]) + (10 if data[5] & 16 else 0))
+    body = data[10:end]
+    if flags & 0x80 and major < 4:  # unsynchronised as a whole
+        body = body.replace(b"\xff\0", b"\xff")
+    at, wide = 0, major >= 3
+    if flags & 0x40 and wide and len(body) >= 4:  # an extended header
+        at = _synchsafe(body[:4]) if major == 4 else 4 + int.from_bytes(body[:4], "big")
+    while at + (10 if wide else 6) <= len(body) and body[at] != 0:
+        form = 0
         if wide:
-            name, n = data[at : at + 4], _synchsafe(data[at + 4 : at + 8]) if major == 4 else int.from_bytes(data[at + 4 : at + 8], "big")
+            name, n, form = body[at : at + 4], _synchsafe(body[at + 4 : at + 8]) if major == 4 else int.from_bytes(body[at + 4 : at + 8], "big"), body[at + 9]
         else:
-            name, n = data[at : at + 3], int.from_bytes(data[at + 3 : at + 6], "big")
+            name, n = body[at : at + 3], int.from_bytes(body[at + 3 : at + 6], "big")
         at += 10 if wide else 6
-        if name[:1] == b"T" and at + n <= end:
-            key, value = name.decode("latin-1"), _text(data[at : at + n])
+        if name[:1] == b"T" and at + n <= len(body):
+            value = body[at : at + n]
+            if major == 4:
+                value = value[4:] if form & 1 else value  # behind its length
+                value = value.replace(b"\xff\0", b"\xff") if form & 2 else value
+            key, value = name.decode("latin-1"), _text(value)
             if key in ("TXXX", "TXX") and "\0" in value:
                 key, value = value.split("\0", 1)
             tags[key] = value
@@ -153,6 +209,9 @@ def _vbr(frame: bytes, h: Header, s: Stream) -> bool:
     """Reads a Xing, Info or VBRI table; tells whether the frame is one."""
     at = 4 + (2 if h.checked else 0) + h.side
     if (name := frame[at : at + 4]) in (b"Xing", b"Info") and len(frame) >= at + 8:
+        if frame[at + 120 : at + 124] in (b"LAME", b"Lavc", b"Lavf") and len(frame) >= at + 144:
+            trims = int.from_bytes(frame[at + 141 : at + 144], "big")
+            s.delay, s.padding = trims >> 12, trims & 4095
         s.table, flags, at = name.decode(), int.from_bytes(frame[at + 4 : at + 8], "big"), at + 8
         if flags & 1:
             s.told_frames, at = int.from_bytes(frame[at : at + 4], "big"), at + 4
@@ -171,9 +230,23 @@ def _vbr(frame: bytes, h: Header, s: Stream) -> bool:
     return False
 
 
+def _follow(data: bytes, at: int, end: int, h: Header, frames: int) -> bool:
+    """Whether so many headers of h's kind, or the end, follow the frame at a place."""
+    kind = h.kind
+    for _ in range(frames):
+        at += h.size
+        if at == end:
+            return True
+        h = header(data[at : at + 4]) if at + 4 <= end else None
+        if h is None or h.kind != kind:
+            return False
+    return True
+
+
 def scan(data: bytes) -> Stream:
     """Reads a stream. Bytes that belong to no tag or whole frame are counted as skipped. Where the last frame doesn't end, a
-    header counts as one only if another of the same version, layer and rate, or the end, follows its frame."""
+    header counts as one only if another of the same version, layer and rate, or the end, follows its frame; three have to if the kind is
+    not that of the frames before. version, layer and hertz are the last frame's."""
     s = Stream()
     at, end = _id3v2(data, s.tags), len(data)
     if end - at >= 128 and data[-128:-125] == b"TAG":
@@ -184,26 +257,26 @@ def scan(data: bytes) -> Stream:
     synced = False  # whether the last frame ended here
     while at + 4 <= end:
         h = header(data[at : at + 4])
-        if h is None or at + h.size > end or locked not in (None, (h.version, h.layer, h.hertz)):
+        if h is None or at + h.size > end:
             nxt = data.find(b"\xff", at + 1, end)
             nxt = end if nxt < 0 else nxt
             s.skipped += nxt - at
             at, synced = nxt, False
             continue
-        if not synced:
-            follows = header(data[at + h.size : at + h.size + 4]) if at + h.size + 4 <= end else None
-            if at + h.size != end and (follows is None or (follows.version, follows.layer, follows.hertz) != (h.version, h.layer, h.hertz)):
-                s.skipped, at = s.skipped + 1, at + 1
+        if not synced or h.kind != locked:
+            if not _follow(data, at, end, h, 1 if locked in (None, h.kind) else 3):
+                s.skipped, at, synced = s.skipped + 1, at + 1, False
                 continue
-            locked, synced = (h.version, h.layer, h.hertz), True
+            locked, synced = h.kind, True
             s.version, s.layer, s.hertz = VERSION[h.version], h.layer, h.hertz
-        if h.checked and h.layer == 3:
+        if h.checked:
             s.checked += 1
-            s.bad += crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side]) != int.from_bytes(data[at + 4 : at + 6], "big")
+            s.bad += checksum(data[at : at + h.size], h) != int.from_bytes(data[at + 4 : at + 6], "big")
         if not s.frames and not s.table and h.layer == 3 and _vbr(data[at : at + h.size], h, s):
             at += h.size
             continue
         s.frames, s.samples = s.frames + 1, s.samples + h.samples
+        s.by_hertz[h.hertz] = s.by_hertz.get(h.hertz, 0) + h.samples
         s.kbits[h.kbits] = s.kbits.get(h.kbits, 0) + 1
         s.offsets.append(at)
         at += h.size
@@ -254,7 +327,7 @@ def stored(data: bytes, s: Stream) -> bytes:
     return b"".join(parts)
 
 
-_PROBED = "frames long, samples long, hertz int, seconds double, version string, layer int, vbr_table string, vbr_frames long, seek_table array<long>, frame_offsets array<long>, crc_checked long, crc_bad long, skipped_bytes long, tags map<string,string>"
+_PROBED = "frames long, samples long, hertz int, seconds double, version string, layer int, vbr_table string, vbr_frames long, seek_table array<long>, frame_offsets array<long>, encoder_delay long, encoder_padding long, crc_checked long, crc_bad long, skipped_bytes long, tags map<string,string>"
 
 
 def probe(df: DataFrame, content: str = "content") -> DataFrame:
@@ -269,8 +342,8 @@ def probe(df: DataFrame, content: str = "content") -> DataFrame:
 
         arrow = to_arrow_schema(schema)
         for batch in batches:
-            rows = [(s.frames, s.samples, s.hertz, s.seconds, s.version, s.layer, s.table, s.told_frames, s.seek, s.offsets, s.checked, s.bad, s.skipped, list(s.tags.items())) for s in (scan(x.as_py() or b"") for x in batch.column(place))]
-            new = [pa.array([r[i] for r in rows], arrow.field(batch.num_columns + i).type) for i in range(14)]
+            rows = [(s.frames, s.samples, s.hertz, s.seconds, s.version, s.layer, s.table, s.told_frames, s.seek, s.offsets, s.delay, s.padding, s.checked, s.bad, s.skipped, list(s.tags.items())) for s in (scan(x.as_py() or b"") for x in batch.column(place))]
+            new = [pa.array([r[i] for r in rows], arrow.field(batch.num_columns + i).type) for i in range(16)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], schema=arrow)
 
     return df.mapInArrow(run, schema)
