@@ -2,13 +2,15 @@
 
 Features are counts of byte runs of one to three inside words (A-Z lower-cased, one blank around each word), hashed to WIDTH places, as square
 roots and scaled to unit length. The first step is one machine for each family against the rest; within the family, each pair
-of languages has a machine, and most votes win (ties: the larger sum of margins).
+of languages has a machine, and most votes win (ties: the larger sum of the margins, each squashed to 0..1; then the first language by name).
 
 Machines minimise a squared hinge loss and are fitted on the driver from at most `sample` documents of each language, fewer where all languages
-together would have more than `total`, but `least` at least (a fifth more, or 20, are expected to be collected), chosen by a digest of the key; their
-features, not their texts, are collected. All values of lang are learned. Languages without an entry in FAMILIES are families of their own.
+together would have more than `total`, but `least` at least: those that come first in the order of a digest of the key (rows of equal keys
+by features; a fifth more, or 20, are expected to be collected). Their features, not their texts, are collected. All values of lang are learned, so
+the driver holds `least` rows a language at least. Languages without an entry in FAMILIES are families of their own.
 
-Texts that are null or have no letter are `und` with score 0, as are all where nothing was learned. Whole texts are read.
+Texts that are null or have no letter are `und` with score 0, as are all where nothing was learned. Rows that are alike are predicted alike, and each
+counts when learning. Whole texts are read; other columns are kept, but for lang_pred and score, which are replaced.
 """
 
 from __future__ import annotations
@@ -143,18 +145,19 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     if not count:
         return None
     sample = min(sample, max(total // len(count), least))
-    digest = F.pmod(F.xxhash64("key", F.lit("sample")), F.lit(1 << 30)) / (1 << 30)
+    rows = rows.withColumn("at", F.pmod(F.xxhash64("key", F.lit("sample")), F.lit(1 << 30)) / (1 << 30)).drop("key")
     shares = docs.sparkSession.createDataFrame([(name, max(1.2 * sample, sample + 20) / n) for name, n in count.items()], "lang string, share double")
-    chosen = rows.join(F.broadcast(shares), "lang").where(digest < F.col("share"))
+    chosen = rows.join(F.broadcast(shares), "lang").where("at < share")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in blocks(batch.column(0)):
                 x, ok = features(b), lettered(b)
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(b.first, len(b)), pa.array([r.astype(np.float16).tobytes() if k else None for r, k in zip(x, ok, strict=True)], pa.binary())], ["lang", "x"])
+                packed = pa.array([r.astype(np.float16).tobytes() if k else None for r, k in zip(x, ok, strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(b.first, len(b)) for i in (1, 2)), packed], ["lang", "at", "x"])
 
-    got = chosen.select("text", "lang").mapInArrow(run, "lang string, x binary").where("x IS NOT NULL").toPandas()
-    got = got.sort_values(["lang", "x"]).groupby("lang", sort=False).head(sample)
+    got = chosen.select("text", "lang", "at").mapInArrow(run, "lang string, at double, x binary").where("x IS NOT NULL").toPandas()
+    got = got.sort_values(["lang", "at", "x"]).groupby("lang", sort=False).head(sample)
     return fit(np.array([np.frombuffer(x, np.float16) for x in got["x"]], np.float32), list(got["lang"])) if len(got) else None
 
 
