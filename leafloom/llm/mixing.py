@@ -8,8 +8,9 @@ A document is then repeated as often as its source's target holds its source's s
 sample: documents in the order of a digest, whole, until the fraction is reached; the one in which it is reached gives only
 the words still missing. Each source so takes its target rounded to a word.
 
-The order is found in two steps, so that no task needs a whole source: sums by (source, first digits of the digest) tell the one bin
-in which a source's fraction ends, and only that bin's documents are sorted.
+The order is found in steps, so that no task needs a whole source: sums by (source, first digits of the digest) tell the one bin in which a source's
+fraction ends, and only that bin's documents are sorted. There are enough digits that a bin of the largest source has some FEW documents.
+Targets need all sources in order of their caps, in one task: a row of four numbers a source.
 
 Null texts and texts without words have size 0 and are never taken. A null source is a source, last in order. Rows that are
 alike count each. Sizes are words `[^\\x20\\x09-\\x0D]+`.
@@ -17,6 +18,8 @@ alike count each. Sizes are words `[^\\x20\\x09-\\x0D]+`.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,8 +29,8 @@ WEIGHTS = (5, 2, 1)
 #: Budget as a share of all words, and the cap, in hundredths.
 BUDGET, CAP = 150, 200
 SEED = "mix-1"
-#: Digits of the digest that make a bin, and the most sources whose table is broadcast.
-DIGITS, MANY = 3, 10_000
+#: Documents that a bin of the largest source has, about, and the most sources whose table is broadcast.
+FEW, MANY = 1_000, 10_000
 
 
 def size_of(text: Column) -> Column:
@@ -57,12 +60,15 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     """
     digest = F.md5(F.concat_ws("|", F.lit(seed), F.col(key).cast("string")))
     sized = df.select(F.col(key).alias("key"), F.col(source).alias("source"), size_of(F.col(text)).alias("size"), digest.alias("at"))
-    sized = written(sized.withColumn("bin", F.conv(F.substring("at", 1, DIGITS), 16, 10).cast("int")), "sizes")
+    sized = written(sized, "sizes")
     goal = targets(sized, **shares)
+    most = sized.groupBy("source").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    digits = min(max(math.ceil(math.log(max(most / FEW, 1), 16)), 1), 15)
+    sized = sized.withColumn("bin", F.conv(F.substring("at", 1, digits), 16, 10).cast("long"))
     goal = written(goal.withColumn("whole", F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(0)).cast("long")), "targets")
     goal = goal.withColumn("part", F.round("target").cast("long") - F.col("whole") * F.col("source_size"))
     bins = sized.groupBy("source", "bin").agg(F.sum("size").alias("words"))
-    upto = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # at most 16**DIGITS rows
+    upto = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a row for FEW documents
     ends = bins.withColumn("upto", F.sum("words").over(upto)).join(goal.select(F.col("source").alias("s"), "part"), F.col("source").eqNullSafe(F.col("s")))
     ends = ends.where("upto >= part").groupBy("source").agg(F.min(F.struct("bin", (F.col("part") - F.col("upto") + F.col("words")).alias("missing"))).alias("end"))
     facts = goal.join(ends.withColumnRenamed("source", "e"), F.col("source").eqNullSafe(F.col("e")), "left")

@@ -18,7 +18,10 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_minhash": neardup.SQL,
+    "op2_katz": katz.SQL,
     "op3_substrings": substrings.SQL,
+    "op4_licenses": licenses.SQL,
     "op8_mixing": mixing.SQL,
     "op9_fingerprints": fingerprints.SQL,
     "op10_urls": urls.SQL,

@@ -6,12 +6,16 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 _own: dict[str, str] = {}
+#: Paths that written() has made, of each open scope.
+_scopes: list[list[str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,12 +32,32 @@ def shared_folder(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a new Parquet table in the shared folder, read back; lost executors cost no recomputation of it. Results are read from such
-    tables lazily, so they stay until the folder's owner clears it."""
+    tables lazily, so they stay until a scope around the caller ends (see cleared()), or the folder's owner clears it."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    for scope in _scopes:
+        scope.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever store it is."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def cleared(spark: SparkSession) -> Iterator[None]:
+    """Around work whose results are stored elsewhere before it ends: its tables in the shared folder are deleted then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            remove(spark, path)
+
+
 def small(df: DataFrame, most: int) -> DataFrame:
     """df marked for broadcasting if it has at most `most` rows, else df: the planner then shuffles both sides."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
