@@ -2,7 +2,10 @@
 
 STAGES are (name, function) pairs; each function takes (spark, docs, sf_dir), works on all rows that the stage before it left,
 and gives a DataFrame that is written as Parquet and read again as the next stage's docs. All but the last give the columns of
-documents.
+documents; other columns of the input are dropped by the first stage.
+
+Empty tables pass all stages empty. Null texts go with the first stage, and null sources are a source. Rows that are alike count each, but for near
+duplicates: a row stays or goes with its doc_id, so of rows with one id all or none stay, and rows without an id stay.
 """
 
 from __future__ import annotations
@@ -11,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafloom.llm import language, mixing, neardup, packing, substrings
-from leafloom.llm.tables import bounded, written
+from leafloom.llm.tables import bounded, cleared, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -74,7 +77,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; what a stage writes on its way is deleted once its result is stored."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with cleared(spark) as keep:
+            docs = keep(written(stage(spark, docs, sf_dir), name))
     return STAGES[-1][1](spark, docs, sf_dir)
