@@ -6,7 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,14 +48,23 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 @contextmanager
-def cleared(spark: SparkSession) -> Iterator[None]:
-    """Around work whose results are stored elsewhere before it ends: its tables in the shared folder are deleted then."""
-    _scopes.append([])
+def cleared(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Around work whose results are stored before it ends: its tables in the shared folder are deleted then, but for those that were given to
+    the function which this yields."""
+    scope, kept = [], []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.extend(scope[-1:])  # the table written last
+        return df
+
+    _scopes.append(scope)
     try:
-        yield
+        yield keep
     finally:
-        for path in _scopes.pop():
-            remove(spark, path)
+        _scopes.remove(scope)
+        for path in scope:
+            if path not in kept:
+                remove(spark, path)
 
 
 def small(df: DataFrame, most: int) -> DataFrame:
