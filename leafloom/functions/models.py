@@ -55,6 +55,18 @@ class ExtractiveGenerator:
         return json.dumps({"answer": " ".join(t for _, t in found), "used_chunk_ids": [i for i, _ in found]})
 
 
+class ExtractiveDrafter:
+    """Drafts without a model: the first sentences of each part of a prompt, and nothing where parts are merged."""
+
+    def generate(self, prompt: str) -> str:
+        if fields := re.findall(r"^## (\w+) \(pages [^)]*\)\n(.*?)(?=\n\n## |\Z)", prompt, re.S | re.M):
+            return json.dumps({f: [K.clip(x, 300) for x in K.sentences(t)[:3]] if f in ("key_findings", "limitations") else K.clip(" ".join(K.sentences(t)[:2]), 600) for f, t in fields})
+        if m := re.search(r"^Wanted: (.*)$", prompt, re.M):
+            first = next(iter(K.sentences(prompt.rsplit("TEXT:\n", 1)[-1])), "")
+            return json.dumps({f: {"value": K.clip(first, 300), "evidence": K.clip(first, 160)} for f in m[1].split(", ") if first})
+        return "{}"
+
+
 def prompt(question: str, evidence: list[dict], partial: bool) -> str:
     parts = [f"[Evidence {i}]\nPage: {e['page_number']}\nChunk ID: {e['chunk_id']}\nText:\n{e['span']}" for i, e in enumerate(evidence, 1)]
     care = " It answers the question only in part: say so, and word findings with care." if partial else ""
@@ -127,3 +139,24 @@ def as_pages(x: Any) -> list[int]:
         found = [int(item)] if isinstance(item, (int, float)) else [int(n) for n in re.findall(r"\d+", str(item))]
         out += [n for n in found if n > 0]
     return list(dict.fromkeys(out))
+
+
+def as_note(x: Any) -> dict | None:
+    """value, evidence and pages of what came for one field, or None if it says nothing. Evidence needs a value; pages may stand beside it."""
+    whole = isinstance(x, dict)
+    value = as_text({k: v for k, v in x.items() if k not in ("evidence", "pages", "page")} if whole else x)
+    if not value:
+        return None
+    pages = next((x[k] for k in ("pages", "page") if k in x), []) if whole else []
+    return {"value": value, "evidence": as_text(x.get("evidence")) if whole else "", "pages": as_pages(pages)}
+
+
+def as_notes(got: dict, fields: dict[str, str]) -> list[dict]:
+    """The notes of a group's answer, with their fields. Where a field of several items came as one text, that is its only item."""
+    out = []
+    for name, field in fields.items():
+        x = got.get(name)
+        for item in x if isinstance(x, (list, tuple)) else [x]:
+            if note := as_note(item):
+                out.append({"field": field, **note})
+    return out

@@ -7,6 +7,7 @@ size. Each question is embedded and its kinds are found once.
 from __future__ import annotations
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -95,37 +96,43 @@ def answers(questions: DataFrame, found: DataFrame, selected: DataFrame, generat
                 out.append((r.question_id, r.status, text, sources, NOTES[r.status], ids, sorted({e["page_number"] for e in used}), True, None))
             yield pd.DataFrame(out, columns=columns)
 
-    ready = asked.join(evidence, "question_id").where("status <> 'not_supported'").mapInPandas(run, ANSWERS)
+    rows = asked.join(evidence, "question_id", "left")
+    can = (F.col("status") != "not_supported") & F.col("evidence").isNotNull()
+    ready = rows.where(can).mapInPandas(run, ANSWERS)
     empty = {"status": F.lit("not_supported"), "answer": F.lit(NO_ANSWER), "sources": F.array().cast(SOURCES), "confidence_note": F.lit(NOTES["not_supported"]), "selected_chunk_ids": F.array().cast("array<string>"), "cited_pages": F.array().cast("array<int>"), "generation_called": F.lit(False), "error": F.lit(None).cast("string")}
-    return ready.unionByName(_abstained(asked, evidence).select("question_id", *[v.alias(k) for k, v in empty.items()]))
-
-
-def _abstained(asked: DataFrame, evidence: DataFrame) -> DataFrame:
-    return asked.join(evidence.select("question_id", F.lit(True).alias("_has")), "question_id", "left").where("status = 'not_supported' OR _has IS NULL")
+    return ready.unionByName(rows.where(~can).select("question_id", *[v.alias(k) for k, v in empty.items()]))
 
 
 def ask(questions: DataFrame, pages: DataFrame, k: int = 5, embedder: M.Embedder | None = None, generator: M.Generator | None = None, wider: int = 12) -> dict[str, DataFrame]:
     """All stages for questions (question_id, doc_id, question) on pages: chunks, ranked, diagnostics, verdicts, selected, answers.
 
-    One ranking serves both pools: the verdict's, cut to k, and the wider one that evidence is selected from.
+    One ranking serves both pools: the verdict's, cut to k, and the wider one that evidence is selected from. What several results are made of is
+    persisted, on disk where memory ends; release() lets go of it.
     """
     embedder = embedder or M.HashingEmbedder()
     chunks = segment.passages(pages)
     asked = R.embed(questions.withColumn("doc_id", F.col("doc_id").cast("string")), embedder, "question")
     most = max(k, wider)
-    ranked = R.rank(asked, R.embed(chunks, embedder), R.pool(most))
-    narrow = R.rerank(ranked.where(F.col("rank") <= R.pool(k)), asked, k)
+    ranked = R.rank(asked, R.embed(chunks, embedder), R.pool(most)).persist(StorageLevel.MEMORY_AND_DISK)
+    asked = asked.drop("embedding").persist(StorageLevel.MEMORY_AND_DISK)
+    narrow = R.rerank(ranked.where(F.col("rank") <= R.pool(k)), asked, k).persist(StorageLevel.MEMORY_AND_DISK)
     wide = R.rerank(ranked, asked, most)
     scores = R.diagnostics(ranked, 2).drop("mean_top_k", "returned").join(narrow.groupBy("question_id").agg(F.count("*").alias("returned"), F.avg("score").alias("mean_top_k")), "question_id")
-    found = verdicts(asked, narrow, scores)
-    selected = select_evidence(asked, wide, found)
-    return {"chunks": chunks, "ranked": narrow, "diagnostics": scores, "verdicts": found, "selected": selected, "answers": answers(asked, found, selected, generator)}
+    found = verdicts(asked, narrow, scores).persist(StorageLevel.MEMORY_AND_DISK)
+    selected = select_evidence(asked, wide, found).persist(StorageLevel.MEMORY_AND_DISK)
+    made = {"chunks": chunks, "ranked": narrow, "diagnostics": scores, "verdicts": found, "selected": selected, "answers": answers(asked, found, selected, generator)}
+    return made | {"pool": ranked, "asked": asked}
+
+
+def release(made: dict[str, DataFrame]) -> None:
+    for df in made.values():
+        df.unpersist()
 
 
 def sources_by_page(made: DataFrame) -> DataFrame:
     """question_id, page, sections and excerpts of the answers' sources, in order of first use."""
     rows = made.select("question_id", F.posexplode("sources").alias("pos", "s")).select("question_id", "pos", "s.*")
-    name = F.when(F.col("section") != "", F.concat(F.upper(F.substring("section", 1, 1)), F.translate(F.substring("section", 2, 1000), "_", " ")))
+    name = F.when(F.col("section") != "", F.concat(F.upper(F.substring("section", 1, 1)), F.translate(F.substring(F.col("section"), F.lit(2), F.length("section")), "_", " ")))
     by = rows.groupBy("question_id", "page").agg(F.min("pos").alias("first"), F.array_sort(F.collect_set(name)).alias("sections"), F.array_sort(F.collect_list(F.struct("pos", "evidence"))).alias("e"))
     return by.select("question_id", "page", "first", "sections", F.transform("e", lambda x: x["evidence"]).alias("excerpts"))
 

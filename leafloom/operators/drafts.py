@@ -12,8 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafloom.functions import kernels as K
 from leafloom.functions import models as M
+from leafloom.operators.summary import keeps_meaning
 
 #: Texts and lists of a draft, and what the reduced one has to have.
 TEXTS = ("title", "research_question", "background", "methods", "participants_or_data", "plain_english_summary", "confidence_notes")
@@ -90,10 +90,10 @@ def repaired_question(made: DataFrame, generator: M.Generator, otherwise: str) -
                     new = M.as_text(M.read_json(generator.generate(f"Word this as one question, with the same meaning. Return JSON with value.\n{old}"))[0])
                 except M.ModelError:
                     new = ""
-                words = lambda t: {w for w in K.rx("[a-z0-9]+").findall(t.lower()) if len(w) > 3}
-                kept = new.endswith("?") and len(words(new) - words(old)) <= max(2, len(words(old)) // 4)
-                out.append((doc, new if kept else otherwise))
-            yield pd.DataFrame(out, columns=["doc_id", "_question"])
+                out.append((doc, new))
+            yield pd.DataFrame(out, columns=["doc_id", "_new"])
 
-    fixed = rows.mapInPandas(run, "doc_id string, _question string")
-    return made.join(fixed, "doc_id", "left").withColumn("research_question", F.coalesce("_question", "research_question")).drop("_question")
+    old = F.col("research_question")
+    fits = F.endswith(F.col("_new"), F.lit("?")) & keeps_meaning(old, F.col("_new"))
+    rows = made.join(rows.mapInPandas(run, "doc_id string, _new string"), "doc_id", "left")
+    return rows.withColumn("research_question", F.when(F.col("_new").isNull(), old).when(fits, F.col("_new")).otherwise(otherwise)).drop("_new")

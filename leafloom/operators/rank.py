@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,18 +43,65 @@ def order() -> list[Column]:
     return [F.round("score", 12).desc(), F.col("page_number"), F.col("start_char"), F.col("chunk_id")]
 
 
-def rank(questions: DataFrame, chunks: DataFrame, k: int, question: str = "embedding") -> DataFrame:
-    """question_id, chunk columns (without vector), score, rank from 1: the k eligible passages of its document that are closest to each
-    question. Joined by document; the planner keeps partial top-k sets before the shuffle."""
-    if k <= 0:
-        return rank(questions.limit(0), chunks, 1, question)
-    eligible = with_exclusion(chunks).where("excluded IS NULL").drop("excluded")
-    asked = questions.select("question_id", "doc_id", F.col(question).alias("_q"))
-    scored = eligible.join(asked, "doc_id").withColumn("score", T.cosine(F.col("_q"), F.col("embedding"))).drop("_q", "embedding")
+#: Vectors of a block, of either side, about.
+BLOCK = 2_000
+
+
+def _blocks(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """doc_id and the number of blocks that its rows make."""
+    return rows.groupBy("doc_id").agg(F.ceil(F.count("*") / size).cast("int").alias(key))
+
+
+def rank(questions: DataFrame, chunks: DataFrame, k: int, question: str = "embedding", size: int = BLOCK) -> DataFrame:
+    """question_id, chunk columns (without vector), score, rank from 1: the k eligible passages of its document that are closest to each question.
+
+    A document's questions and passages are dealt to blocks, and each pair of blocks is one group: a product of two matrices of unit vectors, of
+    which a question's best k are kept. So neither a long document nor one that many ask is one task, and what is ranked at last is k rows for each
+    question and block of passages.
+    """
+    k, every = max(k, 1), k > 0
+    eligible = with_exclusion(chunks).where("excluded IS NULL AND embedding IS NOT NULL").drop("excluded").withColumn("doc_id", F.col("doc_id").cast("string"))
+    asked = questions.select("question_id", F.col("doc_id").cast("string").alias("doc_id"), F.col(question).alias("_q")).where(F.lit(every))
+    parts = _blocks(asked, "_nq", size).join(_blocks(eligible, "_nc", size), "doc_id")
+    deal = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = asked.join(parts, "doc_id").withColumn("_bq", deal("question_id", "_nq")).withColumn("_bc", each("_nc")).drop("_nq", "_nc")
+    right = eligible.join(parts, "doc_id").withColumn("_bc", deal("chunk_id", "_nc")).withColumn("_bq", each("_nq")).drop("_nq", "_nc")
+    columns = [c for c in eligible.columns if c != "embedding"]
+    schema = questions.select("question_id").schema
+    for f in eligible.select(columns).schema:
+        schema = schema.add(f)
+
+    def run(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        if q.empty or c.empty:
+            return pd.DataFrame(columns=[f.name for f in schema] + ["score"])
+        x, y = np.stack(q["_q"]).astype(float), np.stack(c["embedding"]).astype(float)
+        if x.shape[1] != y.shape[1]:
+            raise ValueError("vectors of different dimensions")
+        x, y = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), np.finfo(float).tiny) for v in (x, y))
+        score = np.clip(x @ y.T, -1.0, 1.0)
+        then = np.lexsort((c["chunk_id"], c["start_char"], c["page_number"]))  # places of the passages on ties
+        place = np.empty(len(then), np.int64)
+        place[then] = np.arange(len(then))
+        best = np.stack([np.lexsort((place, -np.round(s, 12)))[:k] for s in score])
+        rows = c.iloc[best.ravel()][columns].reset_index(drop=True)
+        rows.insert(0, "question_id", np.repeat(q["question_id"].to_numpy(), best.shape[1]))
+        return rows.assign(score=np.take_along_axis(score, best, 1).ravel())
+
+    schema = schema.add("score", "double")
+    scored = left.groupBy("doc_id", "_bq", "_bc").cogroup(right.groupBy("doc_id", "_bq", "_bc")).applyInPandas(run, schema)
     by = Window.partitionBy("question_id").orderBy(*order())
     return scored.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
 
+def with_diagnostics(ranked: DataFrame, k: int) -> DataFrame:
+    """ranked with top_score, second_score, score_gap and mean_top_k of its question, in the same shuffle as the ranks."""
+    own = Window.partitionBy("question_id")
+    at = lambda n: F.max(F.when(F.col("rank") == n, F.col("score"))).over(own)
+    rows = ranked.withColumns({"top_score": at(1), "second_score": at(2), "mean_top_k": F.avg(F.when(F.col("rank") <= k, F.col("score"))).over(own)})
+    return rows.withColumn("score_gap", F.col("top_score") - F.col("second_score"))
+
+
 def diagnostics(ranked: DataFrame, k: int) -> DataFrame:
     """returned, top_score, second_score, score_gap and mean_top_k of each question; null where there is none."""
     at = lambda n: F.max(F.when(F.col("rank") == n, F.col("score")))
@@ -95,8 +143,6 @@ def term_coverage(questions: DataFrame, ranked: DataFrame) -> DataFrame:
     return rows.select("question_id", "chunk_id", T.coverage(F.col("_terms"), F.col("_have")).alias("coverage"), F.array_intersect("_terms", "_have").alias("matched"))
 
 
-
-
 def corpus_counts(chunks: DataFrame) -> DataFrame:
     """considered, excluded and excluded_by_reason of each document's passages."""
     by = with_exclusion(chunks).groupBy("doc_id", "excluded").agg(F.count("*").cast("int").alias("n"))

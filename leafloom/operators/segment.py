@@ -35,8 +35,10 @@ def line_offsets(pages: DataFrame, text: str = "text", *keys: str) -> DataFrame:
 
 def running_heads(pages: DataFrame, ratio: float = 0.4, least: int = 2, shortest: int = 4, longest: int = 100) -> DataFrame:
     """doc_id, key (lower case), line (as first seen), n_pages: short lines, no headings, that stand on many of a document's pages."""
-    seen = page_lines(pages).withColumn("key", F.lower("line")).where(F.length("key").between(shortest, longest))
-    counts = seen.groupBy("doc_id", "key").agg(F.countDistinct("page_number").alias("n_pages"), F.min_by("line", F.struct("page_number", "line_no")).alias("line"))
+    # A line with more than `longest` characters that aren't blanks can't be short, and isn't looked at closely.
+    rough = F.filter(F.split(F.col("text"), T.BREAK, -1), lambda x: (F.length(x) >= shortest) & (F.length(F.replace(x, F.lit(" "), F.lit(""))) <= longest))
+    seen = pages.select("doc_id", "page_number", F.posexplode(F.transform(F.array_distinct(rough), T.collapse)).alias("line_no", "line")).where(F.length("line").between(shortest, longest))
+    counts = seen.groupBy("doc_id", F.lower("line").alias("key")).agg(F.countDistinct("page_number").alias("n_pages"), F.min_by("line", F.struct("page_number", "line_no")).alias("line"))
     total = pages.groupBy("doc_id").agg(F.count("*").alias("total"))
     enough = F.greatest(F.lit(least), F.ceil(F.lit(float(ratio)) * F.col("total")))
     return counts.join(total, "doc_id").where((F.col("n_pages") >= enough) & T.heading_name(F.col("line")).isNull()).select("doc_id", "key", "line", "n_pages")
@@ -98,7 +100,7 @@ def page_groups(pages: DataFrame, chars: int = 12_000, most: int = 6) -> DataFra
 
 
 def hints(pages: DataFrame, heads: DataFrame | None = None) -> DataFrame:
-    """title_candidates, author_candidates, title_confidence, headings (to the pages where they begin) and repeated_lines of each document."""
+    """title_candidates, author_candidates, author_names (the names in those), title_confidence, headings (to the pages where they begin) and repeated_lines of each document."""
     heads = running_heads(pages) if heads is None else heads
 
     def make(pages, heads):
@@ -107,9 +109,9 @@ def hints(pages: DataFrame, heads: DataFrame | None = None) -> DataFrame:
         for s in K.sections(pages, heads):
             if s["pages"][0] not in begins.setdefault(s["name"], []):
                 begins[s["name"]].append(s["pages"][0])
-        yield {"title_candidates": titles, "author_candidates": authors, "title_confidence": sure, "headings": begins}
+        yield {"title_candidates": titles, "author_candidates": authors, "author_names": list(dict.fromkeys(n for a in authors for n in K.names(a)[0])), "title_confidence": sure, "headings": begins}
 
-    made = _each(with_heads(pages, heads), make, "doc_id string, title_candidates array<string>, author_candidates array<string>, title_confidence string, headings map<string,array<int>>")
+    made = _each(with_heads(pages, heads), make, "doc_id string, title_candidates array<string>, author_candidates array<string>, author_names array<string>, title_confidence string, headings map<string,array<int>>")
     repeated = heads.groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg(F.array_sort(F.collect_list("line")).alias("repeated_lines"))
     return made.join(repeated, "doc_id", "left").withColumn("repeated_lines", F.coalesce("repeated_lines", F.array().cast("array<string>")))
 

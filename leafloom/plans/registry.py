@@ -1,7 +1,7 @@
 """Queries over the driver's tables for the library's own operators, with their SQL twins.
 
-Documents stand in as pages: a source is a paper, and a document one of its pages. Rules that need English run on the fixture rows below,
-which both engines get as literals.
+Documents stand in as pages: of a source, or of the papers of leafloom.plans.papers. Rules of lines and sentences also run on fixture rows below, which
+both engines get as literals, for the cases that no table has.
 """
 
 from __future__ import annotations
@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from leafloom.functions import lexicon as L
 from leafloom.functions import models as M
 from leafloom.functions import text as T
-from leafloom.operators import answer, condense, evaluate, packages, rank, segment, summary
+from leafloom.operators import answer, condense, evaluate, packages, rank, segment, summarise, summary
+from leafloom.plans import papers as P
 from leafloom.sources import pages as sources
-from leafloom.sources import samples
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -77,7 +77,7 @@ SELECT doc_id, CAST(n - 1 AS INTEGER) line_no, {COLLAPSE.format("raw")} line, CA
   CAST(before + length(rtrim(raw)) AS BIGINT) end_char FROM s WHERE {COLLAPSE.format("raw")} <> ''
 """)
 def line_offsets(spark, sf_dir):
-    return segment.line_offsets(table(spark, sf_dir, "documents").where("text IS NOT NULL"), "text", "doc_id")
+    return segment.line_offsets(table(spark, sf_dir, "documents"), "text", "doc_id")
 
 
 @query("sentence_split", f"""
@@ -122,23 +122,23 @@ def finding_words(spark, sf_dir):
 
 
 @query("text_cuts", rf"""
-WITH c AS (SELECT doc_id, {COLLAPSE.format("text")} t FROM documents WHERE text IS NOT NULL)
-SELECT doc_id, CASE WHEN length(t) <= 600 THEN t ELSE regexp_replace(substr(t, 1, 600), ' [^ ]*$', '') || '...' END cut_600,
-  CASE WHEN length(t) <= 320 THEN t ELSE regexp_replace(substr(t, 1, 320), ' [^ ]*$', '') || '...' END cut_320 FROM c
+WITH c AS (SELECT doc_id, {COLLAPSE.format("text")} t FROM documents)
+SELECT doc_id, CASE WHEN t IS NULL THEN NULL WHEN length(t) <= 600 THEN t ELSE regexp_replace(substr(t, 1, 600), ' [^ ]*$', '') || '...' END cut_600,
+  CASE WHEN t IS NULL THEN NULL WHEN length(t) <= 320 THEN t ELSE regexp_replace(substr(t, 1, 320), ' [^ ]*$', '') || '...' END cut_320 FROM c
 """)
 def text_cuts(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", T.cut(F.col("text"), 600).alias("cut_600"), T.cut(F.col("text"), 320).alias("cut_320"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.cut(F.col("text"), 600).alias("cut_600"), T.cut(F.col("text"), 320).alias("cut_320"))
 
 
 # --- identifiers and vectors -------------------------------------------------------------------------------------------
 
 
 @query("passage_id", """
-SELECT doc_id, printf('p%04d-%s', CAST(doc_id % 90 + 1 AS INTEGER), substr(sha256(concat_ws('|', source, CAST(doc_id % 90 + 1 AS VARCHAR), lang, '0', CAST(n_chars AS VARCHAR), text)), 1, 12)) chunk_id
-FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL
+SELECT doc_id, printf('p%04d-%s', CAST(doc_id % 90 + 1 AS INTEGER), substr(sha256(concat_ws('|', source, CAST(doc_id % 90 + 1 AS VARCHAR), lang, '0', CAST(n_chars AS VARCHAR), text)), 1, 12)) chunk_id FROM documents
 """)
 def passage_id(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").dropna(subset=["source", "lang", "text"])
+    """Documents as passages: source, language and size stand for document, section and end, and the page is one of ninety by id. What is null adds no part."""
+    d = table(spark, sf_dir, "documents")
     return d.select("doc_id", T.passage_id(F.col("source"), (F.col("doc_id") % 90 + 1).cast("int"), F.col("lang"), F.lit(0), F.col("n_chars"), F.col("text")).alias("chunk_id"))
 
 
@@ -191,15 +191,10 @@ x AS (SELECT doc_id, item_id, len(d.w) a, len(b.w) b, len(list_intersect(d.w, b.
 SELECT doc_id, item_id, shared, round(CAST(shared AS DOUBLE) / least(a, b), 9) overlap FROM x WHERE shared > 0 AND CAST(shared AS DOUBLE) / least(a, b) >= 0.8
 """)
 def containment(spark, sf_dir):
-    """Documents that have most words of a benchmark item, or the reverse; joined on words, so that pairs without one don't arise."""
-
-    def words(name, key):
-        w = table(spark, sf_dir, name).select(key, T.content_words(F.col("text")).alias("w"))
-        return w.select(key, F.size("w").alias(f"{key}_n"), F.explode("w").alias("word"))
-
-    both = words("documents", "doc_id").join(words("benchmark", "item_id"), "word").groupBy("doc_id", "item_id", F.least("doc_id_n", "item_id_n").alias("least")).agg(F.count("*").alias("shared"))
-    share = F.col("shared") / F.col("least")
-    return both.where(share >= 0.8).select("doc_id", "item_id", "shared", F.round(share, 9).alias("overlap"))
+    """Documents that have most words of a benchmark item, or the reverse."""
+    of = lambda name, key: table(spark, sf_dir, name).select(F.col(key), T.content_words(F.col("text")).alias("words"))
+    found = evaluate.contained(of("documents", "doc_id"), of("benchmark", "item_id"), "doc_id", "item_id", 0.8)
+    return found.select("doc_id", "item_id", "shared", F.round("overlap", 9).alias("overlap"))
 
 
 @query("confusion_metrics", """
@@ -288,9 +283,13 @@ def stems(spark, sf_dir):
     return fixture(spark, WORD_ROWS).select("id", T.stem(F.col("t")).alias("stem"))
 
 
-@query("file_sizes", "SELECT doc_id, CASE WHEN n_chars < 1024 THEN n_chars || ' B' ELSE printf('%.1f KB', CAST(n_chars AS DOUBLE) / 1024) END size FROM documents WHERE n_chars < 1000000")
+@query("file_sizes", """
+SELECT doc_id, CASE WHEN n_chars < 1024 THEN n_chars || ' B' WHEN n_chars < 1024 * 1024 THEN printf('%.1f KB', CAST(n_chars AS DOUBLE) / 1024) ELSE printf('%.1f MB', CAST(n_chars AS DOUBLE) / 1024 / 1024) END size,
+  CASE WHEN n_chars * 4096 < 1024 THEN n_chars * 4096 || ' B' WHEN n_chars * 4096 < 1024 * 1024 THEN printf('%.1f KB', CAST(n_chars * 4096 AS DOUBLE) / 1024) ELSE printf('%.1f MB', CAST(n_chars * 4096 AS DOUBLE) / 1024 / 1024) END pages_of_4k FROM documents
+""")
 def file_sizes(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("n_chars < 1000000").select("doc_id", sources.file_size(F.col("n_chars")).alias("size"))
+    """Of all documents, and as if each character took a page of memory, so that all units occur."""
+    return table(spark, sf_dir, "documents").select("doc_id", sources.file_size(F.col("n_chars")).alias("size"), sources.file_size(F.col("n_chars") * 4096).alias("pages_of_4k"))
 
 
 UPLOADS = [("/in/a.pdf", 3), ("/in/B.PDF", 20 * 1024 * 1024), ("/in/c.txt", 3), ("/in/d.pdf", 0), ("/in/e.pdf", 20 * 1024 * 1024 + 1)]
@@ -309,62 +308,131 @@ def page_phrases(spark, sf_dir):
     return spark.createDataFrame(list(enumerate(PAGE_SETS)), "id int, p array<int>").select("id", T.page_phrase(F.col("p")).alias("phrase"))
 
 
-_PASSAGES = [("a", "", 1, "words of a first page before any heading stands on it"), ("a", "findings", 2, "walkers slept longer than the others in both of the towns"), ("a", "References", 3, "Hill on sleep and age and rest in later life"), ("a", "methods", 2, "too short"), ("b", "", 1, "a paper without any heading keeps the passages of its first page"), ("a", "keywords", 1, "sleep"), ("b", "", 2, "tiny")]
+# --- papers, end to end ------------------------------------------------------------------------------------------------
 
 
-@query("exclusion_summary", "WITH v(doc_id, section, page_number, text) AS (VALUES " + ", ".join(str(p) for p in _PASSAGES) + r"""),
-l AS (SELECT *, max(CAST(trim(section) <> '' AS INTEGER)) OVER (PARTITION BY doc_id) labelled FROM v),
-x AS (SELECT doc_id, CASE WHEN lower(trim(section)) IN ('references', 'acknowledgements', 'keywords') THEN lower(trim(section)) WHEN len(string_split(trim(text), ' ')) < 8 THEN 'too-short'
-  WHEN trim(section) = '' AND page_number = 1 AND labelled = 1 THEN 'front-matter' END excluded FROM l)
-SELECT doc_id, excluded, count(*) n FROM x WHERE excluded IS NOT NULL GROUP BY 1, 2
-""")
-def exclusion_summary(spark, sf_dir):
-    return rank.exclusion_summary(spark.createDataFrame(_PASSAGES, "doc_id string, section string, page_number int, text string"))
+def _flat(df: DataFrame) -> DataFrame:
+    """Arrays, maps and structs as JSON, so that all columns are scalars."""
+    return df.select(*[F.to_json(F.struct(F.col(c).alias("v"))).alias(c) if t.startswith(("array", "map", "struct")) else F.col(c) for c, t in df.dtypes])
 
 
-# --- the sample paper, end to end --------------------------------------------------------------------------------------
+def on_papers(name: str, sql: str | None = None):
+    """Registers make(pages, cases)."""
 
+    def put(make):
+        query(name, sql)(lambda spark, sf_dir: _flat(make(P.pages(spark, sf_dir), P.cases(spark, sf_dir))))
+        return make
 
-def _flat(df: DataFrame) -> DataFrame:
-    """Arrays, maps and structs as JSON, so that all columns are scalars."""
-    return df.select(*[F.to_json(F.struct(F.col(c).alias("v"))).alias(c) if t.startswith(("array", "map", "struct")) else F.col(c) for c, t in df.dtypes])
+    return put
 
 
-SAMPLE = {
-    "section_carry": lambda p, c: segment.sections(p),
-    "passages": lambda p, c: segment.passages(p),
-    "passage_stats": lambda p, c: segment.chunk_stats(segment.passages(p)),
+def _list(column: str) -> str:
+    """A list of any kind as to_json() writes it, in a field v."""
+    return f"'{{\"v\":' || CAST(to_json({column}) AS VARCHAR) || '}}'"
+
+
+def _json(column: str, quote: str = "") -> str:
+    """A list as to_json() writes it, in a field v."""
+    return "'{\"v\":[' || array_to_string(" + (f"list_transform({column}, lambda x: '\"' || x || '\"')" if quote else column) + ", ',') || ']}'"
+
+
+on_papers("section_carry", f"WITH {P.SECTIONS} SELECT doc_id, section_no, name, heading, text, {_json('pages')} pages FROM sec")(lambda p, c: segment.sections(p))
+on_papers("passages", f"WITH RECURSIVE {P.PASSAGES} SELECT * FROM pas")(lambda p, c: segment.passages(p))
+on_papers("passage_stats", f"""
+WITH RECURSIVE {P.PASSAGES}, x AS (SELECT *, len(string_split(text, ' ')) n FROM pas)
+SELECT doc_id, count(*) chunks, count(DISTINCT page_number) pages, CAST(min(n) AS INTEGER) min_words, CAST(max(n) AS INTEGER) max_words, CAST(floor(avg(n)) AS BIGINT) mean_words,
+  {_json("coalesce(list_sort(list(DISTINCT section) FILTER (section <> '')), [])", "q")} sections FROM x GROUP BY 1
+""")(lambda p, c: segment.chunk_stats(segment.passages(p)))
+on_papers("exclusion_summary", f"WITH RECURSIVE {P.PASSAGES}, {P.EXCLUDED} SELECT doc_id, excluded, count(*) n FROM ex WHERE excluded IS NOT NULL GROUP BY 1, 2")(lambda p, c: rank.exclusion_summary(segment.passages(p)))
+on_papers("corpus_counts", f"""
+WITH RECURSIVE {P.PASSAGES}, {P.EXCLUDED}, b AS (SELECT doc_id, excluded, count(*) n FROM ex GROUP BY 1, 2)
+SELECT doc_id, CAST(coalesce(sum(n) FILTER (excluded IS NULL), 0) AS INTEGER) considered, CAST(coalesce(sum(n) FILTER (excluded IS NOT NULL), 0) AS INTEGER) excluded,
+  '{{"v":{{' || coalesce(string_agg('"' || excluded || '":' || n, ',' ORDER BY excluded) FILTER (excluded IS NOT NULL), '') || '}}}}' excluded_by_reason FROM b GROUP BY 1
+""")(lambda p, c: rank.corpus_counts(segment.passages(p)))
+
+_BODY = f"""{P.SECTIONS},
+bd AS (SELECT s.* FROM sec s LEFT JOIN (SELECT doc_id, min(section_no) ends FROM sec WHERE name IN ('references', 'acknowledgements') GROUP BY 1) t USING (doc_id) WHERE ends IS NULL OR section_no < ends),
+se AS (SELECT doc_id, section_no, name, pages, unnest(l) s, generate_subscripts(l, 1) n FROM (SELECT *, {P.SENTENCES.format("text")} l FROM bd)),
+li AS (SELECT * FROM se WHERE name IN ('limitations', 'discussion', 'conclusion') AND length(trim(s)) >= 20 AND ({P.has("trim(s)", L.LIMITATION)} OR (name = 'limitations' AND NOT {P.has("trim(s)", L.RESULT)}))),
+l1 AS (SELECT doc_id, s, min(section_no * 1000000 + n) at_, arg_min(pages, section_no * 1000000 + n) pages FROM li GROUP BY 1, 2),
+lm AS (SELECT doc_id, list(s ORDER BY at_) sentences, list_sort(list_distinct(flatten(list(pages)))) pages FROM l1 GROUP BY 1)"""
+_PACKAGES = f"""{_BODY},
+fm(field, name, priority) AS (VALUES {", ".join(f"('{f}', '{n}', {i})" for f, names in L.FIELDS.items() for i, n in enumerate(names))}),
+di AS (SELECT doc_id, field, string_agg(trim(text, ' ' || chr(10)), chr(10) || chr(10) ORDER BY priority, section_no) text, list_sort(list_distinct(flatten(list(pages)))) pages, list(heading ORDER BY priority, section_no) headings
+  FROM bd JOIN fm USING (name) WHERE trim(text) <> '' GROUP BY 1, 2),
+cu AS (SELECT *, CASE name WHEN 'abstract' THEN 0 WHEN 'introduction' THEN 1 ELSE 2 END part FROM se WHERE name IN ('abstract', 'introduction', 'background') AND {P.has("s", L.STATED_QUESTION)} AND doc_id NOT IN (SELECT doc_id FROM di WHERE field = 'research_question')),
+c1 AS (SELECT doc_id, s, min((part, section_no, n)) at_, arg_min(pages, (part, section_no, n)) pages FROM cu GROUP BY 1, 2),
+pk AS (SELECT * FROM di UNION ALL SELECT doc_id, 'research_question', string_agg(s, ' ' ORDER BY at_), list_sort(list_distinct(flatten(list(pages)))), ['(inferred from abstract/introduction)'] FROM c1 GROUP BY 1
+  UNION ALL SELECT doc_id, 'limitations', array_to_string(sentences, chr(10)), pages, ['limitations'] FROM lm)"""
+_CORE = ("research_question", "methods", "participants_or_data", "key_findings")
+
+on_papers("stated_limitations", f"WITH {_BODY} SELECT doc_id, CAST(len(sentences) AS INTEGER) n, array_to_string(sentences, '|') sentences, {_json('pages')} pages FROM lm")(
+    lambda p, c: packages.limitations(segment.sections(p)).select("doc_id", F.size("sentences").alias("n"), F.array_join("sentences", "|").alias("sentences"), "pages")
+)
+on_papers("evidence_packages", f"WITH {_PACKAGES} SELECT doc_id, field, text, {_json('pages')} pages, {_json('headings', 'q')} headings FROM pk")(lambda p, c: packages.packages(segment.sections(p)))
+on_papers("uncovered_fields", f"WITH {_PACKAGES} SELECT doc_id, field FROM (SELECT * FROM (SELECT DISTINCT doc_id FROM pg), (SELECT unnest([{', '.join(f"'{c}'" for c in _CORE)}]) field)) x ANTI JOIN pk USING (doc_id, field)")(
+    lambda p, c: packages.uncovered(p, packages.packages(segment.sections(p)))
+)
+
+_TOP = "SELECT question_id, doc_id, CAST(rank AS INTEGER) rank, chunk_id, page_number, round(score, 6) score, round(max(score) FILTER (rank = 1) OVER w - max(score) FILTER (rank = 2) OVER w, 6) score_gap, round(avg(score) OVER w, 6) mean_top_k FROM (SELECT * FROM rk WHERE rank <= 5) WINDOW w AS (PARTITION BY question_id)"
+
+
+def _ranked(p: DataFrame, c: DataFrame, k: int) -> DataFrame:
+    chunks = rank.embed(segment.passages(p), M.HashingEmbedder())
+    return rank.rank(rank.embed(c, M.HashingEmbedder(), "question"), chunks, k)
+
+
+@on_papers("flagship_ranking", f"WITH RECURSIVE {P.RANKED} {_TOP}")
+def flagship_ranking(p, c):
+    """Passages of all papers ranked against users' questions."""
+    found = rank.with_diagnostics(_ranked(p, c, 5), 5)
+    return found.select("question_id", "doc_id", "rank", "chunk_id", "page_number", *[F.round(x, 6).alias(x) for x in ("score", "score_gap", "mean_top_k")])
+
+
+_HAVE = "text || ' ' || replace(section, '_', ' ')"
+on_papers("term_coverage", f"""
+WITH RECURSIVE {P.RANKED}, t AS (SELECT question_id, chunk_id, {P.terms("question")} wanted, {P.terms(_HAVE)} have FROM rk WHERE rank <= 5),
+m AS (SELECT *, list_sort(list_intersect(wanted, have)) matched FROM t)
+SELECT question_id, chunk_id, CASE WHEN len(wanted) = 0 THEN 0 ELSE round(CAST(len(matched) AS DOUBLE) / len(wanted), 9) END coverage, array_to_string(matched, ' ') matched FROM m
+""")(lambda p, c: rank.term_coverage(c, _ranked(p, c, 5).select("question_id", "chunk_id", "text", "section")).select("question_id", "chunk_id", F.round("coverage", 9).alias("coverage"), F.array_join("matched", " ").alias("matched")))
+on_papers("evaluation_json", f"""
+WITH {P.PAGES}, {P.CASES} SELECT doc_id paper, '{{"paper":"' || doc_id || '","questions":[' || string_agg('{{"question":' || CAST(to_json(question) AS VARCHAR) || ',"expected_answerable":' || expected_answerable ||
+  ',"expected_pages":[' || array_to_string(expected_pages, ',') || ']}}', ',' ORDER BY question_id) || ']}}' json FROM qu GROUP BY doc_id
+""")(lambda p, c: sources.evaluation_json(c.select(F.col("doc_id").alias("paper"), F.col("question_id").alias("question_no"), "question", "expected_answerable", "expected_pages")))
+on_papers("reranked", f"WITH RECURSIVE {P.RERANKED} SELECT question_id, CAST(rank AS INTEGER) rank, CAST(cosine_rank AS INTEGER) cosine_rank, cue, chunk_id, round(score, 6) score FROM rr")(
+    lambda p, c: answer.ask(c, p)["ranked"].select("question_id", "rank", "cosine_rank", "cue", "chunk_id", F.round("score", 6).alias("score"))
+)
+_VERDICT = ("supporting_pages", "question_types", "missing_evidence", "matched_terms")
+on_papers("verdict", f"WITH RECURSIVE {P.VERDICTS} SELECT question_id, status, reason, {', '.join(_list(x) + ' ' + x for x in _VERDICT)} FROM vd")(
+    lambda p, c: answer.ask(c, p)["verdicts"].select("question_id", "status", "reason", *_VERDICT)
+)
+_RULES = {"kind": "missing evidence of a kind", "attribute": "attribute not reported", "short": "too few terms", "weak": "no supporting passage", "noise": "low scores", "clear": "one supporting passage", "close": "one supporting passage", "several": "corroborated"}
+on_papers("answer_rules", f"WITH RECURSIVE {P.VERDICTS} SELECT question_id, CASE gate {' '.join(f'WHEN {chr(39)}{k}{chr(39)} THEN {chr(39)}{v}{chr(39)}' for k, v in _RULES.items())} END rule FROM vd")(
+    lambda p, c: answer.ask(c, p)["verdicts"].select("question_id", answer.responsible_rule(F.col("reason")).alias("rule"))
+)
+on_papers("evaluation", f"""
+WITH RECURSIVE {P.VERDICTS}, o AS (SELECT expected_answerable e, status <> 'not_supported' p, len(list_intersect(expected_pages, supporting_pages)) > 0 hit, len(expected_pages) > 0 AND status <> 'not_supported' checked FROM qu JOIN vd USING (question_id))
+SELECT count(*) total, count(*) FILTER (e AND p) true_positives, count(*) FILTER (NOT e AND NOT p) true_negatives, count(*) FILTER (NOT e AND p) false_positives, count(*) FILTER (e AND NOT p) false_negatives, count(*) FILTER (checked) pages_checked,
+  count(*) FILTER (checked AND hit) pages_hit, count(*) FILTER (e = p) correct, coalesce(CAST(count(*) FILTER (e = p) AS DOUBLE) / nullif(count(*), 0), 0) accuracy, CAST(count(*) FILTER (checked AND hit) AS DOUBLE) / nullif(count(*) FILTER (checked), 0) page_accuracy FROM o
+""")(lambda p, c: evaluate.evaluate(c, p)[1])
+on_papers("evaluation_table", f"""
+WITH RECURSIVE {P.VERDICTS}, y AS (SELECT *, status <> 'not_supported' p FROM qu JOIN vd USING (question_id))
+SELECT question_id, rpad(substr(question, 1, 48), 48, ' ') || ' | ' || rpad(CASE WHEN expected_answerable THEN 'yes' ELSE 'no' END, 8, ' ') || ' | ' || rpad(status, 19, ' ') || ' | ' || rpad(CASE WHEN p = expected_answerable THEN 'yes' ELSE 'no' END, 3, ' ')
+  || ' | ' || array_to_string(supporting_pages, ',') line FROM y
+""")(lambda p, c: evaluate.table(evaluate.evaluate(c, p)[0]))
+
+ON_PAPERS = {
     "document_hints": lambda p, c: segment.hints(p),
     "rendered_hints": lambda p, c: summary.render_hints(segment.hints(p)),
-    "evidence_packages": lambda p, c: packages.packages(segment.sections(p)),
-    "stated_limitations": lambda p, c: packages.limitations(segment.sections(p)),
-    "uncovered_fields": lambda p, c: packages.uncovered(p.unionByName(p.withColumn("doc_id", F.lit("blank"))), packages.packages(segment.sections(p))),
-    "verdict": lambda p, c: answer.ask(c, p)["verdicts"].select("question_id", "status", "reason", "supporting_pages", "question_types", "missing_evidence", "matched_terms"),
-    "reranked": lambda p, c: answer.ask(c, p)["ranked"].select("question_id", "rank", "cosine_rank", "cue", "chunk_id", F.round("score", 6).alias("score")),
     "selected_evidence": lambda p, c: answer.ask(c, p)["selected"].withColumn("score", F.round("score", 6)),
     "answers": lambda p, c: answer.ask(c, p)["answers"],
     "sources_by_page": lambda p, c: answer.sources_by_page(answer.ask(c, p)["answers"]),
-    "answer_rules": lambda p, c: answer.ask(c, p)["verdicts"].select("question_id", answer.responsible_rule(F.col("reason")).alias("rule")),
-    "term_coverage": lambda p, c: rank.term_coverage(c, answer.ask(c, p)["ranked"].select("question_id", "chunk_id", "text", "section")),
-    "evaluation": lambda p, c: evaluate.evaluate(c, p)[1],
-    "evaluation_table": lambda p, c: evaluate.table(evaluate.evaluate(c, p)[0]),
-    "evaluation_json": lambda p, c: sources.evaluation_json(c.select(F.col("doc_id").alias("paper"), F.col("question_id").alias("question_no"), "question", "expected_answerable", "expected_pages")),
     "ask_trace": lambda p, c: answer.trace(c, p),
-    "corpus_counts": lambda p, c: rank.corpus_counts(segment.passages(p)),
     "summary": lambda p, c: summary.summaries(p),
+    "summarised": lambda p, c: summarise.summarise(p)["summaries"],
+    "summary_notes": lambda p, c: summarise.summarise(p)["notes"],
     "rendered_summary": lambda p, c: summary.render(summary.summaries(p)),
-    "condensers": lambda p, c: packages.packages(segment.sections(p)).select("field", *[f(F.col("text")).alias(n) for n, f in condense.TEXTS.items()], condense.findings(F.col("text")).alias("findings"), condense.limits(F.col("text")).alias("limits")),
+    "condensers": lambda p, c: packages.packages(segment.sections(p)).select("doc_id", "field", *[f(F.col("text")).alias(n) for n, f in condense.TEXTS.items()], condense.findings(F.col("text")).alias("findings"), condense.limits(F.col("text")).alias("limits")),
 }
-for _name, _make in SAMPLE.items():
-    QUERIES[_name] = lambda spark, sf_dir, make=_make: _flat(make(samples.pages(spark), samples.cases(spark)))
-
-
-@query("flagship_ranking")
-def flagship_ranking(spark, sf_dir):
-    """Passages of the sources' documents ranked against users' turns: each turn asks one source."""
-    chunks = rank.embed(segment.passages(as_pages(spark, sf_dir), segment.running_heads(as_pages(spark, sf_dir), ratio=0.1)), M.HashingEmbedder())
-    papers = table(spark, sf_dir, "documents").agg(F.array_sort(F.collect_set(F.coalesce("source", F.lit("")))).alias("papers"))
-    turns = table(spark, sf_dir, "conversations").where("role = 'user' AND text IS NOT NULL").crossJoin(F.broadcast(papers))  # one row
-    asked = turns.select(F.concat_ws("-", "conv_id", "turn").alias("question_id"), F.get("papers", F.pmod(F.xxhash64("conv_id", "turn"), F.size("papers")).cast("int")).alias("doc_id"), "text")
-    ranked = rank.rank(rank.embed(asked, M.HashingEmbedder()), chunks, 5)
-    return ranked.join(rank.diagnostics(ranked, 5), "question_id").select("question_id", "doc_id", "rank", "chunk_id", "page_number", F.round("score", 6).alias("score"), F.round("score_gap", 6).alias("score_gap"), F.round("mean_top_k", 6).alias("mean_top_k"))
+for _name, _make in ON_PAPERS.items():
+    on_papers(_name)(_make)

@@ -34,10 +34,16 @@ def post(url: str, payload: dict, timeout: float) -> dict:
     return got
 
 
-class HttpGenerator:
-    """Tries once more without the options that an endpoint refused, and doesn't offer them again."""
+#: What each endpoint refused, in this process.
+_refused: dict[str, set[str]] = {}
+
+
+def forget_refusals() -> None:
+    _refused.clear()
 
-    refused: set[str] = set()
+
+class HttpGenerator:
+    """Tries once more without the options that an endpoint refused, and doesn't offer that endpoint them again."""
 
     def __init__(self, url: str, model: str, timeout: float = 300.0, schema: dict | None = None, options: dict | None = None):
         self.url, self.model, self.timeout, self.more = url, model, timeout, {"format": schema or "json", "think": False}
@@ -45,13 +51,13 @@ class HttpGenerator:
 
     def generate(self, prompt: str) -> str:
         base = {"model": self.model, "prompt": prompt, "stream": False, "options": self.options}
-        offered = {k: v for k, v in self.more.items() if k not in self.refused}
+        offered = {k: v for k, v in self.more.items() if k not in _refused.get(self.url, ())}
         try:
             got = post(self.url, base | offered, self.timeout)
         except ModelError as e:
             if e.kind != "refused" or not offered:
                 raise
-            HttpGenerator.refused |= set(offered)
+            _refused.setdefault(self.url, set()).update(offered)
             got = post(self.url, base, self.timeout)
         text = str(got.get("response") or "").strip()
         if not text:
@@ -65,17 +71,20 @@ class HttpEmbedder:
     def __init__(self, url: str, model: str, batch: int = 16, timeout: float = 300.0):
         self.url, self.model, self.batch, self.timeout = url, model, batch, timeout
 
-    def embed(self, texts: list[str]) -> list[list[float]]:
-        out: list[list[float]] = []
-        for i in range(0, len(texts), self.batch):
-            part = texts[i : i + self.batch]
+    def embed(self, texts: list[str]) -> list[list[float] | None]:
+        """Blank texts aren't sent: they have None, as their passages can't be ranked."""
+        said = [t for t in texts if t.strip()]
+        vectors: list[list[float]] = []
+        for i in range(0, len(said), self.batch):
+            part = said[i : i + self.batch]
             got = post(self.url, {"model": self.model, "input": part}, self.timeout).get("embeddings")
             if not isinstance(got, list) or len(got) != len(part):
                 raise ModelError("as many vectors as texts were expected", 502)
-            out += [check_vector(v) for v in got]
-        if len({len(v) for v in out}) > 1:
+            vectors += [check_vector(v) for v in got]
+        if len({len(v) for v in vectors}) > 1:
             raise ModelError("vectors differ in dimension", 502)
-        return out
+        left = iter(vectors)
+        return [next(left) if t.strip() else None for t in texts]
 
 
 def check_vector(v) -> list[float]:

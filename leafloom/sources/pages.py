@@ -8,6 +8,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 from pathlib import PurePosixPath
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -67,11 +68,21 @@ def request_status(requests: DataFrame) -> DataFrame:
 
 
 def evaluation_set(spark: SparkSession, path: str) -> DataFrame:
-    """Cases of JSON files: paper (the file's stem where it isn't given), question_no, question, expected_answerable, expected_pages."""
-    rows = spark.read.schema(EVALUATION).option("multiLine", True).json(path)
-    stem = F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]*)?$", 1)
-    rows = rows.select(F.coalesce("paper", stem).alias("paper"), F.posexplode("questions").alias("question_no", "q"))
-    return rows.select("paper", "question_no", "q.question", "q.expected_answerable", F.coalesce("q.expected_pages", F.array().cast("array<int>")).alias("expected_pages"))
+    """Cases of JSON files: paper (the file's stem where it isn't given), question_no, question, expected_answerable, expected_pages.
+
+    Each file is checked strictly where it is read, and one that can't be used ends the job with the name of the question that is wrong.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for name, text in zip(pdf["name"], pdf["value"], strict=True):
+                got = check_evaluation(text, PurePosixPath(unquote(name)).name)
+                rows += [(got["paper"], i, q["question"], q["expected_answerable"], q.get("expected_pages", [])) for i, q in enumerate(got["questions"])]
+            yield pd.DataFrame(rows, columns=["paper", "question_no", "question", "expected_answerable", "expected_pages"])
+
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("name"), "value")
+    return files.mapInPandas(run, "paper string, question_no int, question string, expected_answerable boolean, expected_pages array<int>")
 
 
 class EvaluationError(ValueError):
@@ -111,9 +122,15 @@ def new_only(chunks: DataFrame, stored: DataFrame, key: str = "document_key") ->
     return chunks.join(have, key, "left_anti"), stored.join(chunks.select(key).distinct(), key, "left_semi")
 
 
+def reuse(chunks: DataFrame, stored: DataFrame, key: str = "document_key") -> DataFrame:
+    """One row: hits and misses of the documents that are asked for in the table of embedded passages."""
+    have = stored.select(key).distinct().withColumn("_have", F.lit(True))
+    return chunks.select(key).distinct().join(have, key, "left").agg(F.count("_have").alias("hits"), F.count_if(F.col("_have").isNull()).alias("misses"))
+
+
 def file_size(length: Column) -> Column:
     kb = length / 1024
-    return F.when(length < 1024, F.concat(length.cast("string"), F.lit(" B"))).when(kb < 1024, F.concat(F.format_number(kb, 1), F.lit(" KB"))).otherwise(F.concat(F.format_number(kb / 1024, 1), F.lit(" MB")))
+    return F.when(length < 1024, F.concat(length.cast("string"), F.lit(" B"))).when(kb < 1024, F.format_string("%.1f KB", kb)).otherwise(F.format_string("%.1f MB", kb / 1024))
 
 
 def settings(spark: SparkSession, prefix: str = "spark.leafloom.") -> dict:
