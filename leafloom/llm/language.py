@@ -39,6 +39,8 @@ UND = "und"
 WIDTH = 1 << 12
 #: The most documents of a language to fit on, and of all languages together where that leaves each language LEAST.
 SAMPLE, TOTAL, LEAST = 400, 16_000, 20
+#: Bytes of text whose features are made at once: each text takes WIDTH numbers meanwhile.
+BYTES = 1 << 18
 _LETTER = byte_class((65, 90), (97, 122))
 _BLANK = byte_class((0, 32), (127, 127))
 
@@ -151,7 +153,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in blocks(batch.column(0)):
+            for b in blocks(batch.column(0), BYTES):
                 x, ok = features(b), lettered(b)
                 packed = pa.array([r.astype(np.float16).tobytes() if k else None for r, k in zip(x, ok, strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(b.first, len(b)) for i in (1, 2)), packed], ["lang", "at", "x"])
@@ -168,7 +170,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in blocks(batch.column(place)):
+            for b in blocks(batch.column(place), BYTES):
                 said, score = np.full(len(b), UND, object), np.zeros(len(b))
                 ok = lettered(b)
                 if model is not None and ok.any():

@@ -40,9 +40,9 @@ class _Parts(dict):
         kept = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # bytes that byte-level vocabularies write as themselves
         self.letters = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in kept)}
 
-    def __missing__(self, part: str) -> list[int]:
+    def __missing__(self, part: str) -> array:
         text = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
-        ids = self[part] = [t.id for t in self.model.tokenize(text)]
+        ids = self[part] = array("I", [t.id for t in self.model.tokenize(text)])
         return ids
 
 
@@ -54,7 +54,7 @@ class Ids(dict):
     tokeniser. Tables are begun anew when they are full.
     """
 
-    MOST = 300_000
+    MOST = 200_000
     LETTERS, DIGITS = "A-Za-z\xAA\xB5\xBA\xC0-\xD6\xD8-\xF6\xF8-\u012F", "0-9\xB2\xB3\xB9\xBC-\xBE"
 
     def __init__(self, path: str):

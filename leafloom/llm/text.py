@@ -6,6 +6,7 @@ computed for many documents at once with numpy, without making a Python object f
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -100,14 +101,28 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), at
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # no such function in this C library
+    _trim = None
+
+
+def release() -> None:
+    """Gives memory that isn't used back to the system: a worker that waits for its next task holds little beside its modules."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def blocks(column: pa.Array, limit: int = BLOCK) -> Iterator[Block]:
-    """Splits a column into runs of rows of at most `limit` bytes, or of one row."""
+    """Splits a column into runs of rows of at most `limit` bytes, or of one row; then releases memory."""
     data, at = buffers(column)
     first = 0
     while first < len(at) - 1:
         last = max(first + 1, int(np.searchsorted(at, at[first] + limit, "right")) - 1)
         yield Block(first, last, data[at[first] : at[last]], at[first : last + 1] - at[first])
         first = last
+    release()
 
 
 @dataclass
