@@ -47,6 +47,34 @@ def test_all_languages_are_learned(spark):
     assert all(x.lang_pred == x.lang for x in language.identify(d, language.train(d)).collect())
 
 
+def test_votes_are_those_of_all_pairs():
+    """A family's pairs one by one, and the largest margin among families."""
+    r = np.random.default_rng(3)
+    names = ["de", "en", "nl", "sv", "fr", "es"]
+    x = np.abs(r.normal(size=(90, language.WIDTH))).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    model = language.fit(x[:60], [names[i % 6] for i in range(60)])
+    said, score = model.predict(x)
+    for row, s, p in zip(x, said, score, strict=True):
+        family = model.families[int(np.argmax([w[:-1] @ row + w[-1] for w in model.outer]))]
+        pool = model.languages[family]
+        votes, soft, k = dict.fromkeys(pool, 0), dict.fromkeys(pool, 0.0), 0
+        for i, a in enumerate(pool):
+            for b in pool[i + 1 :]:
+                m = float(model.inner[family][k][:-1] @ row + model.inner[family][k][-1])
+                k += 1
+                votes[a if m > 0 else b] += 1
+                soft[a], soft[b] = soft[a] + 1 / (1 + np.exp(-4 * m)), soft[b] + 1 / (1 + np.exp(4 * m))
+        best = max(pool, key=lambda n: (votes[n], soft[n]))
+        assert s == best and 0 <= p <= 1
+
+
+def test_sample_is_that_of_the_digest(spark):
+    d = spark.createDataFrame(_lang_rows(400), "doc_id long, text string, lang string")
+    a, b = (language.train(x, sample=30) for x in (d, d.repartition(7).withColumn("more", F.lit(1))))
+    assert (a.outer == b.outer).all() and all((a.inner[f] == b.inner[f]).all() for f in a.families)
+
+
 # --- licenses ----------------------------------------------------------------------------------------------------------
 
 
@@ -75,6 +103,15 @@ def test_edited_templates_are_found(docs):
     assert licenses.scan(docs(rows).limit(0)).count() == 0
 
 
+def test_spans_are_verified_on_both_sides(docs):
+    words = licenses.TEMPLATES["isc"].split()
+    strewn = " ".join(f"{' '.join(words[i : i + 3])} {' '.join(f'f{i}x{j}' for j in range(9))}" for i in range(0, len(words), 3))
+    rows = [(1, " ".join(words)), (2, " ".join(words[: len(words) * 7 // 10])), (3, " ".join(words[: len(words) // 2])), (4, strewn), (None, " ".join(words)), (1, " ".join(words))]
+    got = licenses.scan(docs(rows).withColumn("label", F.lit("mine")).withColumn("score", F.lit("mine"))).collect()
+    assert sorted((r.doc_id or 0, r.labels) for r in got) == [(0, "isc"), (1, "isc"), (1, "isc"), (2, "isc"), (3, ""), (4, "")]
+    assert {r.score for r in got if r.doc_id == 1} == {1.0}
+
+
 # --- audio -------------------------------------------------------------------------------------------------------------
 
 
@@ -115,6 +152,83 @@ def test_scanner_reads_other_versions_layers_and_tables():
     assert (s.table, s.told_frames, s.seek, s.frames) == ("VBRI", 2, [10, 22, 36], 2) and s.tags["TIT2"] == "A title" and s.seconds == 2 * 1152 / 44100
 
 
+def _naive_crc(bits):
+    c = 0xFFFF
+    for b in bits:
+        c = (c << 1) ^ (0x8005 if (c >> 15) ^ b else 0)
+        c &= 0xFFFF
+    return c
+
+
+def _bits(data):
+    return [b >> i & 1 for b in data for i in range(7, -1, -1)]
+
+
+@pytest.mark.parametrize(("word", "protected"), [
+    ((0xFF, 0xFE, 0xC4, 0xC0), lambda g: 32 * 4),  # MPEG 1 layer I, mono
+    ((0xFF, 0xFE, 0xC4, 0x50), lambda g: 4 * (2 * 8 + 24)),  # joint stereo, shared from subband 8 on
+    ((0xFF, 0xFC, 0xC4, 0xC0), lambda g: 11 * 4 + 12 * 3 + 4 * 2 + 2 * g(27, 1, 32)),  # layer II, 48 kHz, mono
+    ((0xFF, 0xFC, 0x14, 0x00), lambda g: 2 * (2 * 4 + 6 * 3) + 2 * g(8, 2, 32)),  # 32 kbit/s, stereo
+])
+def test_checksums_of_layers_one_and_two(word, protected):
+    h = audio.header(bytes(word))
+    body = bytearray(random.Random(word[2]).randbytes(h.size - 6))
+    stream = _bits(body)
+
+    def used(bands, channels, bound):
+        at = n = 0
+        for width in h.allocation[:bands]:
+            for _ in range(channels):
+                n += any(stream[at : at + width])
+                at += width
+        return n
+
+    n = protected(used)
+    frame = bytearray(bytes(word) + _naive_crc(_bits(bytes(word[2:])) + stream[:n]).to_bytes(2, "big") + bytes(body))
+    s = audio.scan(bytes(frame) * 3)
+    assert (s.frames, s.checked, s.bad) == (3, 3, 0)
+    frame[6 + n // 16] ^= 1
+    assert audio.scan(bytes(frame) * 3).bad == 3
+
+
+def test_scanner_locks_on_another_stream_after_a_break():
+    a = audio.store(b"x" * 5000)
+    a = a[a.index(b"\xff\xfa") :]
+    two = bytes((0xFF, 0xF3, 0x40, 0xC4))
+    b = (two + bytes(audio.header(two).size - 4)) * 6
+    s, one = audio.scan(a + b"junk!" + b), audio.scan(a)
+    assert s.skipped == 5 and s.frames == one.frames + 6 and abs(s.seconds - one.seconds - 6 * 576 / 22050) < 1e-9
+
+
+def test_tags_with_unsynchronisation_and_extended_headers():
+    frame = audio.store(b"x" * 64)
+    frame = frame[frame.index(b"\xff\xfa") :]
+    title = "TIT2".encode() + (4).to_bytes(4, "big") + b"\0\0" + b"\0\xffAB"
+    three = b"\0\0\0\x06" + bytes(6) + title
+    raw = three.replace(b"\xff", b"\xff\0")
+    s = audio.scan(b"ID3\x03\0\xc0" + bytes(audio._safe(len(raw))) + raw + frame)
+    assert s.tags["TIT2"] == "ÿAB" and s.frames == 1 and s.skipped == 0
+    four = b"\0\0\0\x06\x01\0" + b"TIT2" + bytes(audio._safe(9)) + b"\0\x03" + bytes(audio._safe(4)) + b"\0\xff\0AB"
+    s = audio.scan(b"ID3\x04\0\x40" + bytes(audio._safe(len(four))) + four + frame)
+    assert s.tags["TIT2"] == "ÿAB" and s.frames == 1
+
+
+def test_feature_is_that_of_a_plain_reading(spark, docs, tmp_path):
+    """The query's frames, samples and offsets against a walk over its own stored form by frame lengths."""
+    text = "lorem ipsum " * 400
+    docs([(1, text), (1, text), (2, text)]).write.parquet(f"{tmp_path}/documents.parquet")
+    media = audio.store(text.encode() + bytes(-len(text) % 64))
+    at, offsets = media.index(b"\xff\xfa"), []
+    while at < len(media):
+        rate = audio.KBITS[False, 3][(media[at + 2] >> 4) - 1]
+        offsets.append(at)
+        at += 144_000 * rate // 44_100 + (media[at + 2] >> 1 & 1)
+    got = audio.query(spark, str(tmp_path)).collect()
+    seek = zlib.crc32(struct.pack(f"<{len(offsets) - 1}Q", *offsets[1:]))
+    assert {(r.n_frames, r.feature.endswith(f"seek={seek:08x}"), f"samples={1152 * r.n_frames};" in r.feature) for r in got} == {(len(offsets) - 1, True, True)}
+    assert len({r.feature for r in got}) == 1 and at == len(media)
+
+
 def test_probe_and_query_rows(spark, docs, tmp_path):
     df = spark.createDataFrame([(1, audio.store(b"x" * 64)), (2, None), (3, b"no")], "id int, content binary").withColumn("frames", F.lit("mine"))
     got = {r.id: r for r in audio.probe(df).collect()}
@@ -223,6 +337,10 @@ def test_rules_and_odd_urls(spark):
     rows = [(1, "http://A.Example.ORG/en/1?x"), (2, "https://example.org/es/"), (3, "http://org/x"), (4, "http://borg/x"), (5, "http://x.com/de/#a"), (6, "http://x.com/DE/"), (7, None), (8, "example.org/es/"), (9, "http://a.org"), (10, "http://evil.net/x.org/"), (11, "http://casino-win.example.com/en/1"), (12, "ftp://É.com/fr/é"), (13, "://"), (14, "http://x.net/" + "a" * 5000 + "/wp-login.php")]
     got = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string").withColumn("rule", F.lit("mine"))).collect()}
     assert [got[i].rule for i in range(1, 15)] == ["example.org/en/1", "example.org/es/", "org/", None, "com/de/", None, None, None, None, None, None, "com/fr/", None, None]
+    bare = urls.judge(spark.createDataFrame([(1, "http://best-casino.net"), (2, "http://x-poker.co?id=1"), (3, "http://poker.org/"), (4, "http://x.net/casino")], "page_id long, url string")).collect()
+    assert [r.verdict for r in bare] == ["block", "block", "allow", "allow"]
+    with pytest.raises(ValueError):
+        urls.ShiftAnd(["a" * (urls.STATES + 1)])
     assert [got[i].verdict for i in (1, 3, 7, 11, 12, 14)] == ["block", "allow", "allow", "block", "allow", "block"]
     assert (got[1].host, got[1].path) == ("a.example.org", "/en/1") and (got[13].host, got[13].path) == ("", "") and got[12].host == "É.com".replace("É", "É")
 
@@ -252,3 +370,28 @@ def test_pipeline_stages(spark, docs, tmp_path):
     cut = {x.doc_id: x for x in spark.read.parquet(f"{tmp_path}/repeated_passages").collect()}
     assert len(cut[53].text.split()) == 40 and cut[52].text == dict(rows)[52] and cut[53].n_chars == len(cut[53].text)
     assert p.run(spark, str(tmp_path)).count() == counts[-1]
+
+
+def test_pipeline_of_nothing_and_of_repeated_rows(spark, docs, tmp_path):
+    import corpus_pipeline as p
+
+    docs([(1, "x")]).limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert p.run(spark, f"{tmp_path}/none").count() == 0
+    r = random.Random(2)
+    rows = [(i, " ".join(r.choice("aeiou") * 3 + r.choice("klmnp") for _ in range(60))) for i in range(12)]
+    rows += [rows[0], rows[0], (None, rows[1][1]), (None, None)]
+    docs(rows).write.parquet(f"{tmp_path}/some/documents.parquet")
+    got = p.run(spark, f"{tmp_path}/some")
+    assert {x.doc_id for x in got.select("doc_id").distinct().collect()} == {*range(12), None}
+
+
+def test_scratch_tables_are_cleared(spark):
+    import os
+
+    from leafloom.llm import tables
+
+    with tables.cleared(spark) as keep:
+        gone = tables.written(spark.range(3), "gone")
+        kept = keep(tables.written(spark.range(4), "kept"))
+        place = gone.inputFiles()[0].removeprefix("file://")
+    assert kept.count() == 4 and not os.path.exists(place)
