@@ -125,9 +125,9 @@ def as_text(x: Any) -> str:
 
 
 def as_texts(x: Any) -> list[str]:
-    """Distinct texts in order."""
+    """Distinct texts in order, with white space collapsed."""
     items = x if isinstance(x, (list, tuple)) else [x]
-    return list(dict.fromkeys(t for t in map(as_text, items) if t))
+    return list(dict.fromkeys(t for t in (K.collapse(as_text(i)) for i in items) if t))
 
 
 def as_pages(x: Any) -> list[int]:

@@ -127,6 +127,10 @@ def asks_attribute(question: Column) -> Column:
     return reduce(Column.__or__, [found(question, p) for p in L.ASKS_ATTRIBUTE])
 
 
+def is_question(text: Column) -> Column:
+    return F.endswith(F.trim(text), F.lit("?"))
+
+
 def question_types(question: Column, types: tuple = L.QUESTION_TYPES) -> Column:
     """Names of the kinds of question whose cue the question has, in their order."""
     return F.array_compact(F.array(*[F.when(found(question, cue), F.lit(name)) for name, _, _, cue, _ in types]))

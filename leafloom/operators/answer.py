@@ -103,7 +103,7 @@ def answers(questions: DataFrame, found: DataFrame, selected: DataFrame, generat
     return ready.unionByName(rows.where(~can).select("question_id", *[v.alias(k) for k, v in empty.items()]))
 
 
-def ask(questions: DataFrame, pages: DataFrame, k: int = 5, embedder: M.Embedder | None = None, generator: M.Generator | None = None, wider: int = 12) -> dict[str, DataFrame]:
+def ask(questions: DataFrame, pages: DataFrame, k: int = 5, embedder: M.Embedder | None = None, generator: M.Generator | None = None, wider: int = 12, limit: int = 4) -> dict[str, DataFrame]:
     """All stages for questions (question_id, doc_id, question) on pages: chunks, ranked, diagnostics, verdicts, selected, answers.
 
     One ranking serves both pools: the verdict's, cut to k, and the wider one that evidence is selected from. What several results are made of is
@@ -119,7 +119,7 @@ def ask(questions: DataFrame, pages: DataFrame, k: int = 5, embedder: M.Embedder
     wide = R.rerank(ranked, asked, most)
     scores = R.diagnostics(ranked, 2).drop("mean_top_k", "returned").join(narrow.groupBy("question_id").agg(F.count("*").alias("returned"), F.avg("score").alias("mean_top_k")), "question_id")
     found = verdicts(asked, narrow, scores).persist(StorageLevel.MEMORY_AND_DISK)
-    selected = select_evidence(asked, wide, found).persist(StorageLevel.MEMORY_AND_DISK)
+    selected = select_evidence(asked, wide, found, limit).persist(StorageLevel.MEMORY_AND_DISK)
     made = {"chunks": chunks, "ranked": narrow, "diagnostics": scores, "verdicts": found, "selected": selected, "answers": answers(asked, found, selected, generator)}
     return made | {"pool": ranked, "asked": asked}
 
@@ -149,7 +149,7 @@ def responsible_rule(reason):
 def trace(questions: DataFrame, pages: DataFrame, k: int = 5, **models) -> DataFrame:
     """question_id, rule and trace: all that led to a verdict and its evidence as JSON, short of generating."""
     made = ask(questions, pages, k, **models)
-    short = lambda c: F.when(F.length(c) <= 160, F.col(c)).otherwise(F.concat(F.substring(c, 1, 159), F.lit("…")))
+    short = lambda c: F.when(F.length(c) <= 160, F.col(c)).otherwise(F.concat(F.substring(c, 1, 159), F.lit("…")))  # noqa: E731  of one length
     listed = lambda df, order, *cols: df.groupBy(F.col("question_id").cast("string").alias("question_id")).agg(F.array_sort(F.collect_list(F.struct(order, *cols))).alias("rows"))
     ranks = listed(made["ranked"], "rank", "cosine_rank", "cue", "chunk_id", "page_number", "section", F.round("score", 6).alias("score"), short("text").alias("text")).withColumnRenamed("rows", "ranked")
     picked = listed(made["selected"], "place", "chunk_id", "page_number", short("span").alias("span")).withColumnRenamed("rows", "selected")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafloom.functions import models as M
+from leafloom.functions import text as T
 from leafloom.operators.summary import keeps_meaning
 
 #: Texts and lists of a draft, and what the reduced one has to have.
@@ -80,7 +81,7 @@ def reduce(drafts: DataFrame, generator: M.Generator) -> DataFrame:
 
 def repaired_question(made: DataFrame, generator: M.Generator, otherwise: str) -> DataFrame:
     """made with research questions that are questions: one call where one isn't, kept only if it keeps the meaning; else `otherwise`."""
-    rows = made.where("research_question IS NOT NULL AND NOT endswith(trim(research_question), '?')").select("doc_id", "research_question")
+    rows = made.where(F.col("research_question").isNotNull() & ~T.is_question(F.col("research_question"))).select("doc_id", "research_question")
 
     def run(batches):
         for pdf in batches:
@@ -94,6 +95,6 @@ def repaired_question(made: DataFrame, generator: M.Generator, otherwise: str) -
             yield pd.DataFrame(out, columns=["doc_id", "_new"])
 
     old = F.col("research_question")
-    fits = F.endswith(F.col("_new"), F.lit("?")) & keeps_meaning(old, F.col("_new"))
+    fits = T.is_question(F.col("_new")) & keeps_meaning(old, F.col("_new"))
     rows = made.join(rows.mapInPandas(run, "doc_id string, _new string"), "doc_id", "left")
     return rows.withColumn("research_question", F.when(F.col("_new").isNull(), old).when(fits, F.col("_new")).otherwise(otherwise)).drop("_new")

@@ -38,6 +38,16 @@ def embed(df: DataFrame, embedder, text: str = "text", column: str = "embedding"
     return df.withColumn(column, vectors(F.col(text)))
 
 
+def valid(embedded: DataFrame, column: str = "embedding") -> tuple[DataFrame, DataFrame]:
+    """(rows with a usable vector, the others with `reason`): finite numbers, not all zero, and of the dimension that most rows have."""
+    size = embedded.where(T.is_vector(F.col(column))).groupBy(F.size(column).alias("_size")).agg(F.count("*").alias("_n"))
+    size = size.agg(F.max_by("_size", F.struct("_n", "_size")).alias("_size"))  # one row
+    rows = embedded.crossJoin(F.broadcast(size))
+    reason = F.when(F.col(column).isNull(), "no vector").when(~T.is_vector(F.col(column)), "not finite, or all zero").when(F.size(column) != F.col("_size"), "of another dimension")
+    rows = rows.withColumn("reason", reason).drop("_size")
+    return rows.where("reason IS NULL").drop("reason"), rows.where("reason IS NOT NULL")
+
+
 def order() -> list[Column]:
     """Rounded scores, then page, place and id."""
     return [F.round("score", 12).desc(), F.col("page_number"), F.col("start_char"), F.col("chunk_id")]

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from leafloom.functions import lexicon as L
 from leafloom.functions import models as M
 from leafloom.functions import text as T
-from leafloom.operators import answer, condense, evaluate, packages, rank, segment, summarise, summary
+from leafloom.operators import answer, condense, evaluate, packages, rank, render, segment, summarise, summary
 from leafloom.plans import papers as P
 from leafloom.sources import pages as sources
 
@@ -284,8 +284,8 @@ def stems(spark, sf_dir):
 
 
 @query("file_sizes", """
-SELECT doc_id, CASE WHEN n_chars < 1024 THEN n_chars || ' B' WHEN n_chars < 1024 * 1024 THEN printf('%.1f KB', CAST(n_chars AS DOUBLE) / 1024) ELSE printf('%.1f MB', CAST(n_chars AS DOUBLE) / 1024 / 1024) END size,
-  CASE WHEN n_chars * 4096 < 1024 THEN n_chars * 4096 || ' B' WHEN n_chars * 4096 < 1024 * 1024 THEN printf('%.1f KB', CAST(n_chars * 4096 AS DOUBLE) / 1024) ELSE printf('%.1f MB', CAST(n_chars * 4096 AS DOUBLE) / 1024 / 1024) END pages_of_4k FROM documents
+SELECT doc_id, CASE WHEN n_chars < 1024 THEN n_chars || ' B' WHEN n_chars < 1024 * 1024 THEN printf('%.1f KB', floor(CAST(n_chars AS DOUBLE) / 1024 * 10 + 0.5) / 10) ELSE printf('%.1f MB', floor(CAST(n_chars AS DOUBLE) / 1024 / 1024 * 10 + 0.5) / 10) END size,
+  CASE WHEN n_chars * 4096 < 1024 THEN n_chars * 4096 || ' B' WHEN n_chars * 4096 < 1024 * 1024 THEN printf('%.1f KB', floor(CAST(n_chars * 4096 AS DOUBLE) / 1024 * 10 + 0.5) / 10) ELSE printf('%.1f MB', floor(CAST(n_chars * 4096 AS DOUBLE) / 1024 / 1024 * 10 + 0.5) / 10) END pages_of_4k FROM documents
 """)
 def file_sizes(spark, sf_dir):
     """Of all documents, and as if each character took a page of memory, so that all units occur."""
@@ -431,6 +431,9 @@ ON_PAPERS = {
     "summary": lambda p, c: summary.summaries(p),
     "summarised": lambda p, c: summarise.summarise(p)["summaries"],
     "summary_notes": lambda p, c: summarise.summarise(p)["notes"],
+    "summary_cards": lambda p, c: render.cards(summary.summaries(p)),
+    "ranked_lines": lambda p, c: render.ranked_lines(rank.with_diagnostics(_ranked(p, c, 5).join(c.select("question_id", "question"), "question_id"), 5)),
+    "verdict_reports": lambda p, c: render.reports(answer.ask(c, p)["verdicts"]),
     "rendered_summary": lambda p, c: summary.render(summary.summaries(p)),
     "condensers": lambda p, c: packages.packages(segment.sections(p)).select("doc_id", "field", *[f(F.col("text")).alias(n) for n, f in condense.TEXTS.items()], condense.findings(F.col("text")).alias("findings"), condense.limits(F.col("text")).alias("limits")),
 }

@@ -130,7 +130,7 @@ def reuse(chunks: DataFrame, stored: DataFrame, key: str = "document_key") -> Da
 
 def file_size(length: Column) -> Column:
     kb = length / 1024
-    return F.when(length < 1024, F.concat(length.cast("string"), F.lit(" B"))).when(kb < 1024, F.format_string("%.1f KB", kb)).otherwise(F.format_string("%.1f MB", kb / 1024))
+    return F.when(length.isNull(), F.lit(None).cast("string")).when(length < 1024, F.concat(length.cast("string"), F.lit(" B"))).when(kb < 1024, F.format_string("%.1f KB", kb)).otherwise(F.format_string("%.1f MB", kb / 1024))
 
 
 def settings(spark: SparkSession, prefix: str = "spark.leafloom.") -> dict:
