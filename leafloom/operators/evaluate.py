@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,12 +38,13 @@ def table(rows: DataFrame) -> DataFrame:
     return rows.select("question_id", F.concat_ws(" | ", F.rpad(F.substring("question", 1, 48), 48, " "), F.rpad(yes("expected_answerable"), 8, " "), F.rpad("status", 19, " "), F.rpad(yes("correct"), 3, " "), F.array_join(F.transform("supporting_pages", lambda p: p.cast("string")), ",")).alias("line"))
 
 
-def contained(left: DataFrame, right: DataFrame, a: str, b: str, share: float) -> DataFrame:
+def contained(left: DataFrame, right: DataFrame, a: str, b: str, share: float, k: int = 4) -> DataFrame:
     """a, b, shared and overlap for rows (key, words) of two sides of which the smaller set has `share` of its words, or more, in the other.
 
-    The smaller set then has one of its rarest n - ceil(share n) + 1 words in the other: so only those of each set are joined to the other side's
-    words, which spares the common ones, and the few pairs that result are compared whole.
+    Of the smaller set's rarest n - ceil(share n) + k words then k are in the other, for any k up to ceil(share n): so only those of each set are joined to
+    the other side's words, which spares the common ones, and the few pairs with k of them are compared whole. The sets are persisted, as all steps read them.
     """
+    left, right = (df.persist(StorageLevel.MEMORY_AND_DISK) for df in (left, right))
     rows = lambda df, key: df.where(F.size("words") > 0).select(F.col(key), F.explode("words").alias("word"), F.size("words").alias("n"))
     every = {a: rows(left, a), b: rows(right, b)}
     count = lambda key, name: every[key].groupBy("word").agg(F.count("*").alias(name))
@@ -51,11 +53,13 @@ def contained(left: DataFrame, right: DataFrame, a: str, b: str, share: float) -
     def prefix(key: str) -> DataFrame:
         held = every[key].join(common, "word").withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("cost", "word"))).withColumn("held", F.count("*").over(Window.partitionBy(key)))
         least = F.ceil(F.col("n") * share - 1e-9)
-        return held.where((F.col("held") >= least) & (F.col("place") <= F.col("held") - least + 1)).select(key, "word", "n")
+        held = held.withColumn("k", F.least(F.lit(k), least)).where((F.col("held") >= least) & (F.col("place") <= F.col("held") - least + F.col("k")))
+        return held.select(key, "word", "n", "k")
 
     pairs = None
     for small, large in ((a, b), (b, a)):
-        met = prefix(small).join(every[large].withColumnRenamed("n", "m"), "word").where(F.col("n") <= F.col("m")).select(a, b)
+        met = prefix(small).join(every[large].withColumnRenamed("n", "m"), "word").where(F.col("n") <= F.col("m"))
+        met = met.groupBy(a, b).agg(F.count("*").alias("met"), F.max("k").alias("k")).where("met >= k").select(a, b)
         pairs = met if pairs is None else pairs.unionByName(met)
     both = pairs.distinct().join(left.select(a, F.col("words").alias("_x")), a).join(right.select(b, F.col("words").alias("_y")), b)
     found = both.select(a, b, F.size(F.array_intersect("_x", "_y")).cast("long").alias("shared"), T.containment(F.col("_x"), F.col("_y")).alias("overlap"))
