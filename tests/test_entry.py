@@ -7,6 +7,8 @@ import pytest
 from leafloom.plans import registry
 
 SF = "/root/testdata/sf0.001"
+#: Papers of these few documents have no such section.
+EMPTY = {"stated_limitations"}
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables aren't here")
@@ -19,7 +21,7 @@ def test_query_is_as_its_sql(spark, name):
         db.execute(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{SF}/{f}'")
     a, b = registry.QUERIES[name](spark, SF).toPandas(), db.execute(registry.SQL[name]).df()
     columns = sorted(a.columns)
-    assert columns == sorted(b.columns) and len(a) == len(b) > 0
+    assert columns == sorted(b.columns) and len(a) == len(b) and (len(a) > 0 or name in EMPTY)
     a, b = (x[columns].sort_values(columns).reset_index(drop=True) for x in (a, b))
     assert all(((a[c] == b[c]) | (a[c].isna() & b[c].isna())).all() for c in columns)
 
